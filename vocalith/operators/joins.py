@@ -71,21 +71,27 @@ def pair_prompts(df: DataFrame, key: str, speaker: str, recording: str, duration
     return found.select(key, "tier", "prompt_" + key)
 
 
-def not_contained(candidates: DataFrame, corpus: DataFrame, text: str, key: str, gram: int = 12) -> DataFrame:
+def _inner_pairs(text: Column) -> Column:
+    """Neighbouring pieces of a text split at spaces, without the first and last piece, which may be parts of words."""
+    return F.element_at(F.transform(F.array(F.split(text, " ")), lambda p: F.when(F.size(p) >= 4, F.transform(F.sequence(F.lit(1), F.size(p) - 3), lambda i: F.concat_ws(" ", F.get(p, i), F.get(p, i + 1))))), 1)
+
+
+def not_contained(candidates: DataFrame, corpus: DataFrame, text: str, key: str, corpus_key: str) -> DataFrame:
     """Candidates whose text is no substring of any corpus text.
 
-    Candidates of at least ``gram`` characters are looked up by one gram: every corpus text is cut into its grams, which
-    meet the first gram of the candidates in an equi-join, and only those pairs are tested. Shorter
-    candidates are tested against every text. Blank candidates are contained in anything.
+    Where a candidate occurs, its inner pieces are whole pieces of the corpus text. So its longest pair of inner pieces
+    meets the pairs of the corpus texts in an equi-join, and only those pairs of texts are tested. Candidates of
+    fewer than four pieces have no such pair and are tested against every text. Null texts are contained in nothing.
     """
-    c = candidates.select(F.col(key).alias("_id"), F.col(text).alias("_c"))
-    long = c.where(F.length("_c") >= gram).withColumn("_g", F.xxhash64(F.substring(F.col("_c"), 1, gram)))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_t") - gram + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("_t"), i, F.lit(gram)))))
-    keys = long.select("_g").distinct()
-    hay = corpus.select(F.col(text).alias("_t")).where(F.length("_t") >= gram)
-    hits = hay.select("_t", F.explode(grams).alias("_g")).join(keys, "_g", "left_semi")
-    found = long.join(hits, "_g").where(F.contains(F.col("_t"), F.col("_c"))).select("_id")
-    short = c.where(F.length("_c") < gram)
-    found = found.union(short.join(corpus.select(F.col(text).alias("_t")), F.contains(F.col("_t"), F.col("_c")), "left_semi").select("_id"))
+    c = candidates.select(F.col(key).alias("_id"), F.col(text).alias("_c")).where("_c is not null")
+    t = corpus.select(F.col(corpus_key).alias("_k"), F.col(text).alias("_t")).where("_t is not null")
+    longest = F.array_max(F.transform(_inner_pairs(F.col("_c")), lambda p: F.struct(F.length(p).alias("n"), F.xxhash64(p).alias("g"))))["g"]
+    long = c.withColumn("_g", longest).where("_g is not null")
+    pieces = F.split("_t", " ")
+    pairs = F.when(F.size(pieces) >= 2, F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b))))
+    places = t.select("_k", F.explode(F.array_distinct(pairs)).alias("_g"))
+    meet = long.select("_id", "_g").join(places, "_g").select("_id", "_k")
+    found = meet.join(long.select("_id", "_c"), "_id").join(t, "_k").where(F.contains(F.col("_t"), F.col("_c"))).select("_id")
+    short = c.where(longest.isNull())
+    found = found.union(short.join(t, F.contains(F.col("_t"), F.col("_c")), "left_semi").select("_id"))
     return candidates.join(found.distinct().withColumnRenamed("_id", key), key, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalith.functions.binding import bound
+
 
 def gap_groups(df: DataFrame, key: str, order: list[str], start: str, end: str, gap: float) -> DataFrame:
     """Adds ``group_no`` per key: a new group begins where the pause before a segment exceeds the gap."""
@@ -85,24 +87,29 @@ def cut_point(words: Column, duration: Column, pick: Column, least: float = 1.0,
     inside the window (else the first cut alone) the one at floor(pick * n) is taken; the text is that of the
     words after it; the end is a short tail after the last timed word.
     """
-    struct_of = lambda i: F.struct(
-        ((F.get(words, i - 1)["end"] + F.get(words, i)["start"]) * 0.5).alias("cut"), i.alias("i"), F.get(words, i - 1)["end"].alias("before")
-    )
-    at = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    cuts = F.filter(F.transform(at, struct_of), lambda c: c["cut"].isNotNull() & (c["cut"] >= least) & (duration - c["cut"] >= least))
-    inside = F.filter(cuts, lambda c: c["before"] < window) if window else cuts
-    usable = F.when(F.size(inside) > 0, inside).otherwise(F.slice(cuts, 1, 1))
-    chosen = F.get(usable, F.floor(pick * F.size(usable)).cast("int"))
-    last = F.array_max(F.transform(words, lambda w: w["end"]))
-    after = F.array_join(F.transform(F.slice(words, chosen["i"] + 1, F.size(words)), lambda w: w["word"]), " ")
-    end = F.when(last > chosen["cut"], F.least(duration, last + tail)).otherwise(duration)
-    made = F.struct(chosen["cut"].alias("cut"), chosen["i"].alias("word_index"), after.alias("text"), end.alias("end"))
-    return F.when(F.size(usable) > 0, made)
+
+    def choose(given: Column) -> Column:
+        ws, duration, pick = given["w"], given["d"], given["p"]
+        at = F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
+        found = F.transform(at, lambda i: F.struct(((F.get(ws, i - 1)["end"] + F.get(ws, i)["start"]) * 0.5).alias("cut"), i.alias("i"), F.get(ws, i - 1)["end"].alias("before")))
+        cuts = F.filter(found, lambda c: c["cut"].isNotNull() & (c["cut"] >= least) & (duration - c["cut"] >= least))
+        return bound(cuts, lambda cs: bound(F.filter(cs, lambda c: c["before"] < window) if window else cs, lambda inside: pick_of(ws, duration, pick, F.when(F.size(inside) > 0, inside).otherwise(F.slice(cs, 1, 1)))))
+
+    def pick_of(ws: Column, duration: Column, pick: Column, usable: Column) -> Column:
+        return bound(usable, lambda us: F.when(F.size(us) > 0, bound(F.get(us, F.floor(pick * F.size(us)).cast("int")), lambda c: made(ws, duration, c))))
+
+    def made(ws: Column, duration: Column, chosen: Column) -> Column:
+        last = F.array_max(F.transform(ws, lambda w: w["end"]))
+        after = F.array_join(F.transform(F.slice(ws, chosen["i"] + 1, F.size(ws)), lambda w: w["word"]), " ")
+        end = F.when(last > chosen["cut"], F.least(duration, last + tail)).otherwise(duration)
+        return F.struct(chosen["cut"].alias("cut"), chosen["i"].alias("word_index"), after.alias("text"), end.alias("end"))
+
+    return bound(F.struct(words.alias("w"), duration.alias("d"), pick.alias("p")), choose)
 
 
 def boundary_differences(a: Column, b: Column) -> Column:
     """Absolute start and end differences word by word of two alignments with the same words; null otherwise."""
-    same = F.transform(a, lambda w: w["word"]) == F.transform(b, lambda w: w["word"])
+    same = F.transform(a, lambda w: w["word"]) == F.transform(b, lambda w: w["word"])  # else reported, not measured
     zipped = F.zip_with(a, b, lambda x, y: F.struct(F.abs(x["start"] - y["start"]).alias("start"), F.abs(x["end"] - y["end"]).alias("end"), x["word"].alias("word")))
     return F.when(same, zipped)
 

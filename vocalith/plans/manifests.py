@@ -138,7 +138,7 @@ def seen_unseen_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
 def theta_anti_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.not_contained(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("text"), "text", "item_id").select("item_id")
+    return joins.not_contained(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "item_id", "doc_id").select("item_id")
 
 
 @query(f"""WITH {MANIFEST_SQL}, r AS (SELECT speaker, doc_id, abs(duration - 60) AS away, row_number() OVER (PARTITION BY speaker ORDER BY abs(duration - 60), doc_id) AS rn FROM m WHERE duration >= 20)

@@ -124,7 +124,7 @@ def tokens_per_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("tokens_per_char", N.ratio(F.col("tokens"), F.col("chars")))
 
 
-@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, CASE WHEN row_number() OVER w - 1 < 10 THEN 0.001 * (row_number() OVER w - 1) / 10.0::DOUBLE ELSE NULL END AS warm FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, CASE WHEN row_number() OVER w - 1 < 10 THEN 0.001::DOUBLE * (row_number() OVER w - 1) / 10.0::DOUBLE ELSE NULL END AS warm FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def learning_rate_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     e = table(spark, sf_dir, "events").select("user_id", step.cast("long").alias("step"))

@@ -67,9 +67,9 @@ def word_even_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS ws, {bucket_sql('doc_id')} AS pick FROM documents), n AS (SELECT *, len(ws) AS n, len(ws) * 0.4::DOUBLE + 2 AS duration FROM d),
-c AS (SELECT doc_id, ws, n, duration, pick, unnest(range(1, n)) AS i FROM n), e AS (SELECT *, ((i - 1) * 0.4::DOUBLE + 0.3 + i * 0.4::DOUBLE) * 0.5 AS cut, (i - 1) * 0.4::DOUBLE + 0.3 AS before FROM c),
+c AS (SELECT doc_id, n, duration, pick, unnest(range(1, n)) AS i FROM n), e AS (SELECT *, ((i - 1) * 0.4::DOUBLE + 0.3 + i * 0.4::DOUBLE) * 0.5 AS cut, (i - 1) * 0.4::DOUBLE + 0.3 AS before FROM c),
 v AS (SELECT * FROM e WHERE cut >= 1 AND duration - cut >= 1 AND before < 10), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY doc_id) AS m FROM v)
-SELECT doc_id, round(cut, 6) AS cut, i::INTEGER AS word_index, array_to_string(ws[i + 1:], ' ') AS text, round(least(duration, (n - 1) * 0.4::DOUBLE + 0.3 + 0.2), 6) AS "end" FROM k WHERE r = CAST(floor(pick * m) AS BIGINT)""")
+SELECT doc_id, round(cut, 6) AS cut, i::INTEGER AS word_index, array_to_string(ws[i + 1:], ' ') AS text, round(least(k.duration, (k.n - 1) * 0.4::DOUBLE + 0.3 + 0.2), 6) AS "end" FROM k JOIN n USING (doc_id) WHERE r = CAST(floor(k.pick * m) AS BIGINT)""")
 def word_cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = ref_words(F.col("text"))
     at = F.transform(ws, lambda w, i: F.struct(w.alias("word"), (i * F.lit(0.4)).alias("start"), (i * F.lit(0.4) + F.lit(0.3)).alias("end")))
@@ -86,8 +86,8 @@ def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.size("w").cast("long").alias("n"), F.array_min(ends("w", "start")).alias("first_start"), F.array_max(ends("w", "end")).alias("last_end"))
 
 
-_DISAGREE = f"""WITH w AS (SELECT doc_id, unnest({WORDS_SQL}) AS word, generate_subscripts({WORDS_SQL}, 1) - 1 AS i, len({WORDS_SQL}) AS n FROM documents),
-d AS (SELECT doc_id, word, i, n, CASE WHEN i % 7 = 5 THEN 25 ELSE i % 3 END AS x FROM w WHERE n >= 3),
+_DISAGREE = f"""WITH b AS MATERIALIZED (SELECT doc_id, len({WORDS_SQL}) AS n FROM documents),
+d AS (SELECT doc_id, i, n, CASE WHEN i % 7 = 5 THEN 25 ELSE i % 3 END AS x FROM (SELECT doc_id, n, unnest(range(n)) AS i FROM b WHERE n >= 3)),
 a AS (SELECT doc_id, max(n) AS n_words, list_sort(list(x)) AS xs, max(x) AS end_max, arg_max(x, i) AS last_word, max(CASE WHEN x = 25 THEN 1 ELSE 0 END) AS big, min(i) FILTER (x = 25) AS worst25, min(i) FILTER (x = 2) AS worst2 FROM d GROUP BY 1),
 s AS (SELECT doc_id, n_words, (xs[(n_words - 1) // 2 + 1] + xs[n_words // 2 + 1]) / 2.0::DOUBLE AS median, xs[least(n_words - 1, CAST(floor(0.9 * n_words) AS BIGINT)) + 1]::DOUBLE AS p90, end_max::DOUBLE AS end_max, last_word::DOUBLE AS last_word, coalesce(worst25, worst2) AS worst FROM a)"""
 
