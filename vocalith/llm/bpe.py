@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +32,9 @@ REMEMBERED_BYTES = 48
 
 
 def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
-    """The encoding of a few bytes: the pair of least rank, the leftmost first, is merged until none is left."""
-    found = ranks.get(data)
-    if found is not None and len(data) < 2:
-        return [found]
+    """The encoding of some bytes: the pair of least rank, the leftmost first, is merged until none is left."""
+    if len(data) > 64:
+        return _merge_many(ranks, data)
     parts = [data[i : i + 1] for i in range(len(data))]
     while len(parts) > 1:
         best, at = None, 0
@@ -48,6 +48,41 @@ def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _merge_many(ranks: dict[bytes, int], data: bytes) -> list[int]:
+    """The same with a heap of pairs, for windows that have grown: n log n."""
+    n = len(data)
+    end = list(range(1, n + 1))  # of the part that starts here
+    before = list(range(-1, n - 1))
+    alive = [True] * n
+    heap = []
+
+    def offer(i: int) -> None:
+        j = end[i]
+        if j < n:
+            r = ranks.get(data[i : end[j]])
+            if r is not None:
+                heappush(heap, (r, i, end[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, stop = heappop(heap)
+        if not alive[i] or end[i] >= n or end[end[i]] != stop or end[i] == stop:
+            continue  # a part of this pair has changed since
+        alive[end[i]] = False
+        end[i] = stop
+        if stop < n:
+            before[stop] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[data[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class Bpe:
     """Encoder and decoder over one table of ranks."""
 
@@ -77,8 +112,8 @@ class Bpe:
             grow_right = j < len(right) and not self.stable(window[-1], right[j])
             if not grow_left and not grow_right:
                 return left[:-i] + window + right[j:]
-            i += grow_left
-            j += grow_right
+            i = min(len(left), i * 2) if grow_left else i
+            j = min(len(right), j * 2) if grow_right else j
 
     def encode(self, data: bytes) -> list[int]:
         n = len(data)
