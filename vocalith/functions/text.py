@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Zero-width and bidirectional marks that normalisation deletes.
-INVISIBLE = "​‌‍‎‏‪‫‬‭‮"
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC, which Spark has no function for."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
