@@ -89,6 +89,13 @@ def hash_strings(values: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x.encode(), 42) for x in values), np.uint64, len(values))
 
 
+def sliced(batches, rows: int = 1024):
+    """The same record batches in slices, so that what a task builds beside a batch stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

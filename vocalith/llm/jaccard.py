@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, batch, bloom, hash_longs, stored
+from .common import Bloom, batch, bloom, hash_longs, sliced, stored
 from .components import components
 from .shingles import SHINGLE_WORDS, shingle_sets
 
@@ -38,11 +38,11 @@ FRAGMENTS = 16
 #: N-grams put last in the global order: at most so many, those counted more than COMMON times.
 COMMON, MOST_COMMON = 16, 1 << 18
 #: Shingles counted together inside a task; bounds its memory.
-WINDOW = 2_000_000
+WINDOW = 1_000_000
 #: Documents of one head n-gram compared in one task; more are cut into blocks, compared block by block.
 BLOCK = 2048
 #: Pairs tested at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
@@ -86,7 +86,7 @@ def class_sizes(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, held, seen = [], 0, set()
-        for b in batches:
+        for b in sliced(batches):
             n, k1, k2 = [], [], []
             for s in shingle_sets(b.column(1), k):
                 key = _key(s)
@@ -113,7 +113,7 @@ def _over_sets(docs: DataFrame, k: int, only: Bloom | None, fields: list, sql: s
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             if only is not None and b.num_rows:
                 b = b.filter(pa.array(only.has(hash_longs(b.column(0)))))
             rows = [[] for _ in fields]

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, hash_longs, stored
+from .common import batch, hash_longs, sliced, stored
 from .shingles import shingle_sets
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
+#: Entries of the lexicon at most: the strongest.
 MOST_TERMS = 4096
 #: A lexicon entry: seen in so many toxic documents at least, with so large a log odds ratio.
 SUPPORT, LOG_ODDS = 3, 2.0
@@ -240,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     ends = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             own = hash_longs(b.column(0)).view(np.int64)
             sets = [s.view(np.int64) for s in shingle_sets(b.column(1))]
             yield batch(ends, doc_id=b.column(0), lo=[s[0] if len(s) else o for s, o in zip(sets, own)], hi=[s[-1] if len(s) else o for s, o in zip(sets, own)])
@@ -248,33 +249,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     marks = sample.select("doc_id", "text").mapInArrow(marked, "doc_id bigint, lo bigint, hi bigint")
     once = stored(marks.groupBy("lo").agg(F.min_by("hi", "doc_id").alias("hi"), F.min("doc_id").alias("doc_id")).groupBy("hi").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     single = stored(sample.join(F.broadcast(once), "doc_id", "left_semi"))
-    counted = pa.schema([("term", pa.string()), ("fold", pa.int32()), ("toxic", pa.int64()), ("other", pa.int64())])
+    counted = pa.schema([("term", pa.string()), ("fold", pa.int32()), ("n", pa.int64())])
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen = Counter()
-            for text, toxic, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                found = {t for w in {plain(x)[0] for x in set((text or "").split())} for t in terms_of(w)}
-                seen.update((t, fold, toxic) for t in found)
-            keys = list({(t, f) for t, f, _ in seen})
-            yield batch(counted, term=[t for t, _ in keys], fold=[f for _, f in keys], toxic=[seen[t, f, 1] for t, f in keys], other=[seen[t, f, 0] for t, f in keys])
+    def counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+        """Documents per term and fold, of the wanted terms if such are given."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in sliced(batches):
+                seen = Counter()
+                for text, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    found = {t for w in {plain(x)[0] for x in set((text or "").split())} for t in terms_of(w)}
+                    seen.update((t, fold) for t in (found if wanted is None else found & wanted))
+                yield batch(counted, term=[t for t, _ in seen], fold=[f for _, f in seen], n=list(seen.values()))
+
+        per_fold = rows.select("text", "fold").mapInArrow(run, "term string, fold int, n bigint").groupBy("term")
+        return per_fold.agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)], F.sum("n").alias("n"))
 
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in single.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = (np.array([sizes.get((f, v), 0) for f in range(FOLDS)], np.int64) for v in (1, 0))
     if not n_toxic.sum() or not n_other.sum():
         return Model(1.0 if n_toxic.sum() else 0.0)
-    per_fold = single.select("text", "toxic", "fold").mapInArrow(counts, "term string, fold int, toxic bigint, other bigint").groupBy("term", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    columns = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in ("toxic", "other") for f in range(FOLDS)]
-    odds = F.log((F.col("a") + 0.5) / float(n_toxic.sum() + 1)) - F.log((F.col("b") + 0.5) / float(n_other.sum() + 1))
-    terms = per_fold.groupBy("term").agg(*columns, F.sum("toxic").alias("a"), F.sum("other").alias("b")).where(F.col("a") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS)
-    top = terms.orderBy(F.desc(F.col("odds") * F.sqrt("a")), "term").limit(MOST_TERMS).collect()
-    table = lambda c: np.array([[r[f"{c}{f}"] for f in range(FOLDS)] for r in top], np.int64).reshape(-1, FOLDS)
-    lexicon = Lexicon([r["term"] for r in top], table("toxic"), table("other"), n_toxic, n_other)
+    # terms of toxic documents first: the sample bounds them, and only they need counting in the others
+    toxic = {r["term"]: r for r in counts(single.where("toxic = 1"), None).where(F.col("n") >= SUPPORT).collect()}
+    other = {r["term"]: r for r in counts(single.where("toxic = 0"), frozenset(toxic)).collect()}
+    odds = {t: math.log((r["n"] + 0.5) / (n_toxic.sum() + 1)) - math.log(((other[t]["n"] if t in other else 0) + 0.5) / (n_other.sum() + 1)) for t, r in toxic.items()}
+    top = sorted((t for t, x in odds.items() if x >= LOG_ODDS), key=lambda t: (-odds[t] * math.sqrt(toxic[t]["n"]), t))[:MOST_TERMS]
+    table = lambda found: np.array([[found[t][f"n{f}"] if t in found else 0 for f in range(FOLDS)] for t in top], np.int64).reshape(-1, FOLDS)
+    lexicon = Lexicon(top, table(toxic), table(other), n_toxic, n_other)
     rows = pa.schema([("toxic", pa.int32()), ("fold", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [Words(lexicon.weights(f)) for f in range(FOLDS)]
-        for b in batches:
+        for b in sliced(batches):
             yield batch(rows, toxic=b.column(1), fold=b.column(2), x=[features(t or "", words[f]) for t, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist())])
 
     # at most sample_rows rows of sixteen numbers
@@ -299,7 +305,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield batch(schema, doc_id=b.column(0), score=model.score([x or "" for x in b.column(1).to_pylist()]))
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
@@ -311,7 +317,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array(model.score([x or "" for x in b.column(at).to_pylist()]) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
