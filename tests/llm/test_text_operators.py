@@ -379,12 +379,13 @@ def test_pii_query(spark, sf_dir, edge_docs, no_docs):
 
 def test_disclosing_terms(spark):
     rows = [(i, f"plain words here and more words Zorblax a{i}@b.com then plain words follow on for a while here and there") for i in range(60)]
+    rows += [(400 + i, "copied words Quuxly same@copy.org and some more") for i in range(80)]
     rows += [(100 + i, "plain words here and more words then follow on for a while there") for i in range(200)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, spans string")
     terms = {r["term"]: r for r in pii.disclosing_terms(df).collect()}
     assert set(terms) == {"zorblax"} and terms["zorblax"]["share"] == 1.0 and terms["zorblax"]["bits"] > 3
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
-    assert "Zorblax" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == rows[60][1]
+    assert "Zorblax" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == rows[140][1] and "Quuxly" in clean[400]
 
 
 def test_edge_rows_survive_sanitising(spark, edge_docs):

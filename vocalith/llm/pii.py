@@ -2,8 +2,8 @@
 
 Base spans are those of four kinds: email, ip, card, phone. The method then measures on the whole corpus how strongly a
 term reveals a protected entity: a term's disclosure is log2(P(entity near | term) / P(entity near)), from counts of the
-term within ``NEAR`` words of a base span and counts of it anywhere. A term that is seen near entities at least
-``SUPPORT`` times and whose share near them reaches ``REVEALS`` is generalised where it stands near an entity; one that
+term within ``NEAR`` words of a base span and counts of it anywhere. A term that is seen near at least
+``SUPPORT`` different entities and whose share near them reaches ``REVEALS`` is generalised where it stands near an entity; one that
 reaches ``GIVES_AWAY`` (it occurs nearly nowhere else) is removed everywhere. Disclosing terms are broadcast at most
 ``MOST_TERMS`` at a time; more make further passes.
 
@@ -20,10 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bloom, hash_strings, stored
+from .common import batch, bloom, hash_strings, sliced, stored
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 3
@@ -99,23 +100,29 @@ def _text(docs: DataFrame) -> DataFrame:
 
 
 def near_counts(docs: DataFrame) -> DataFrame:
-    """term, near: how often each lower-cased word stands near a base span, over all documents."""
-    schema = pa.schema([("term", pa.string()), ("near", pa.int64())])
+    """term, near, entities: how often each lower-cased word stands near a base span, and near how many different ones.
+
+    Copies of a document repeat the same entities, so support counts entities, not places.
+    """
+    schema = pa.schema([("term", pa.string()), ("entity", pa.int64()), ("near", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             seen = Counter()
             for x in b.column(0):
                 if (t := x.as_py()) and (spans := base_spans(t)):
-                    seen.update(t[s:e].lower() for s, e in _near(t, spans))
-            yield batch(schema, term=list(seen), near=list(seen.values()))
+                    for s, e in _near(t, spans):
+                        closest = min(spans, key=lambda z: max(z[1] - e, s - z[2]))
+                        seen[t[s:e].lower(), xxhash.xxh64_intdigest(t[closest[1] : closest[2]]) - 2**63] += 1
+            yield batch(schema, term=[t for t, _ in seen], entity=[h for _, h in seen], near=list(seen.values()))
 
-    return _text(docs).mapInArrow(run, "term string, near bigint").groupBy("term").agg(F.sum("near").alias("near"))
+    each = _text(docs).mapInArrow(run, "term string, entity bigint, near bigint").groupBy("term", "entity").agg(F.sum("near").alias("near"))
+    return each.groupBy("term").agg(F.sum("near").alias("near"), F.count("*").alias("entities"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term, near, anywhere, share, bits: the terms whose share near entities reaches REVEALS."""
-    often = stored(near_counts(docs).where(F.col("near") >= SUPPORT))
+    often = stored(near_counts(docs).where(F.col("entities") >= SUPPORT).drop("entities"))
     wanted = bloom(often, "term")
     schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("words", pa.int64())])
 
