@@ -229,10 +229,10 @@ def path_and_id_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id, ts, user_id FROM events WHERE event_type <> 'error' AND user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0)")
+@query("SELECT event_id, ts, user_id FROM events WHERE event_type <> 'error' AND user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = table(spark, sf_dir, "events").where("event_type <> 'error'").select("event_id", "ts", "user_id")
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_custkey % 2 = 0").select(F.col("o_custkey").alias("user_id")).distinct()
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id")).distinct()
     return sets.pending(work, done, "user_id").select("event_id", "ts", "user_id")
 
 

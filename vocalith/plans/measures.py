@@ -10,7 +10,7 @@ from vocalith.operators import aggregates, joins
 from vocalith.plans.base import bucket_sql, query, ref_words, table
 
 # Word edits by dynamic programming in SQL: one row of the table per reference word.
-_EDIT_SQL = """WITH RECURSIVE t AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '') AS ws FROM conversations WHERE turn < 3),
+_EDIT_SQL = """WITH RECURSIVE t AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '') AS ws FROM conversations),
 p AS (SELECT conv_id, turn, role, ws AS a, list_transform(list_filter(list_transform(ws, lambda w, i: CASE WHEN i % 7 = 0 THEN NULL WHEN i % 11 = 0 THEN 'xx' ELSE w END), lambda w: w IS NOT NULL), lambda w: w) AS b FROM t),
 r AS (SELECT conv_id, turn, role, a, b, 0::BIGINT AS i, range(0, len(b) + 1) AS d FROM p
 UNION ALL SELECT conv_id, turn, role, a, b, i + 1, list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, least(acc[j] + 1, d[j + 1] + 1, d[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END)), [i + 1]) FROM r WHERE i < len(a)),
@@ -25,7 +25,7 @@ def hypothesis(ws: Column) -> Column:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = ref_words(F.col("text"))
-    df = table(spark, sf_dir, "conversations").where("turn < 3").select("conv_id", "turn", "role", ws.alias("a"), hypothesis(ws).alias("b"))
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", ws.alias("a"), hypothesis(ws).alias("b"))
     return df.select("conv_id", "turn", "role", F.size("a").cast("long").alias("n_ref"), N.word_edits(F.col("a"), F.col("b")).cast("long").alias("edits"), F.size("b").cast("long").alias("n_hyp"))
 
 
@@ -124,17 +124,18 @@ def tokens_per_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("tokens_per_char", N.ratio(F.col("tokens"), F.col("chars")))
 
 
-@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, CASE WHEN row_number() OVER w - 1 < 10 THEN 0.001::DOUBLE * (row_number() OVER w - 1) / 10.0::DOUBLE ELSE NULL END AS warm FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events)
+SELECT user_id, step, round(CASE WHEN step < 10 THEN 0.001::DOUBLE * step / 10 ELSE 0.0005::DOUBLE * (1 + cos(least(1.0::DOUBLE, (step - 10) / 90.0::DOUBLE) * pi())) END, 12) AS rate FROM e""")
 def learning_rate_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     e = table(spark, sf_dir, "events").select("user_id", step.cast("long").alias("step"))
-    return e.select("user_id", "step", F.when(F.col("step") < 10, N.warmup_cosine(F.col("step"), 0.001, 10, 100)).alias("warm"))
+    return e.select("user_id", "step", F.round(N.warmup_cosine(F.col("step"), 0.001, 10, 100), 12).alias("rate"))
 
 
-@query("""SELECT greatest(1, CAST(floor(n_chars * 12.5::DOUBLE / 240) AS BIGINT)) AS frames, CAST(ceil((n_chars / 3.0::DOUBLE + 2) * 12.5::DOUBLE) AS BIGINT) AS longest, CAST(n_chars / 15.0::DOUBLE * 48000 AS BIGINT) AS bytes, doc_id FROM documents WHERE n_chars % 15 = 0""")
+@query("""SELECT greatest(1, CAST(floor(n_chars * 12.5::DOUBLE / 240) AS BIGINT)) AS frames, CAST(ceil((n_chars / 3.0::DOUBLE + 2) * 12.5::DOUBLE) AS BIGINT) AS longest, CAST(floor(n_chars / 15.0::DOUBLE * 48000) AS BIGINT) AS bytes, doc_id FROM documents""")
 def media_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").where("n_chars % 15 = 0").select("doc_id", N.frames(n, 12.5, 240).cast("long").alias("frames"), N.longest_generation(n, 12.5).cast("long").alias("longest"), N.audio_bytes(n / F.lit(15.0)).alias("bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.frames(n, 12.5, 240).cast("long").alias("frames"), N.longest_generation(n, 12.5).cast("long").alias("longest"), N.audio_bytes(n / F.lit(15.0)).alias("bytes"))
 
 
 @query("""WITH m AS (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) SELECT round(avg(m), 9) AS mean FROM m""")

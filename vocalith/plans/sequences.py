@@ -131,10 +131,10 @@ def normalize_asr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z'' ]', '', 'g')) AS matched, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 12) AS slug,
-right(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 12) AS slug_end, replace(text, '"', '""') AS quoted FROM documents WHERE lang = 'en'""")
+right(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 12) AS slug_end, replace(text, '"', '""') AS quoted FROM documents""")
 def text_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.match_text(c).alias("matched"), T.slug(c).alias("slug"), T.slug(c, last=True).alias("slug_end"), T.escape_quotes(c).alias("quoted"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.match_text(c).alias("matched"), T.slug(c).alias("slug"), T.slug(c, last=True).alias("slug_end"), T.escape_quotes(c).alias("quoted"))
 
 
 _LINE = "replace(replace(regexp_replace(trim(text, ' \t\n\r'), '[\\n\\r]', ' ', 'g'), '  ', ' '), ';', ',')"
