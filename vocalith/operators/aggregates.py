@@ -73,3 +73,21 @@ def moving_average(df: DataFrame, key: str, order: str, value: str, decay: float
 def mean_of_means(df: DataFrame, worker: str, value: str) -> DataFrame:
     """The plain mean over workers of each worker's mean."""
     return df.groupBy(worker).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("mean"))
+
+
+def failure_classes(df: DataFrame, reason: str, seconds: Column, order: str) -> DataFrame:
+    """Per reason the rows and seconds lost and where it was first seen; most frequent first, then first seen."""
+    lost = df.groupBy(reason).agg(F.count("*").alias("n"), F.sum(seconds).alias("seconds_lost"), F.min(order).alias("first_seen"))
+    return lost.orderBy(F.desc("n"), "first_seen")
+
+
+def rate(condition: Column) -> list[Column]:
+    """n, n_hit and percent (two decimals) of rows that meet a condition; percent is null without rows."""
+    hit, n = F.count_if(condition), F.count("*")
+    return [n.alias("n"), hit.alias("n_hit"), F.when(n > 0, F.round(hit * 100.0 / n, 2)).alias("percent")]
+
+
+def longest_per_group(df: DataFrame, group: str, key: str, value: str, k: int) -> DataFrame:
+    """Each group's row with the greatest value (of equal ones the least key); the k greatest of these."""
+    best = df.groupBy(group).agg(F.max(F.struct(F.col(value), (-F.col(key)).alias("_k"))).alias("_b"))
+    return best.select(group, (-F.col("_b._k")).alias(key), F.col(f"_b.{value}").alias(value)).orderBy(F.desc(value), group).limit(k)

@@ -40,3 +40,18 @@ def segment_reason(words: str, start: str, end: str, text_ok: Column, least: flo
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """The rows of ``df``; reading one that breaks the condition fails with the message."""
     return df.where(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def without_nulls(values: Column) -> Column:
+    """A map without its null values."""
+    return F.map_filter(values, lambda k, v: v.isNotNull())
+
+
+def upcast(column: Column, legacy: Column) -> Column:
+    """An array column of a newer layout; rows of the older one, where it is null, get one element made of their own columns."""
+    return F.coalesce(column, F.array(legacy))
+
+
+def allowed_groups(df: DataFrame, key: str, condition: Column) -> DataFrame:
+    """The rows of groups in which some row meets the condition; other groups are not scored at all."""
+    return df.join(df.where(condition).select(key).distinct(), key, "left_semi")

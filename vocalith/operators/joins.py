@@ -95,3 +95,27 @@ def not_contained(candidates: DataFrame, corpus: DataFrame, text: str, key: str,
     short = c.where(longest.isNull())
     found = found.union(short.join(t, F.contains(F.col("_t"), F.col("_c")), "left_semi").select("_id"))
     return candidates.join(found.distinct().withColumnRenamed("_id", key), key, "left_anti")
+
+
+def attach_if(left: DataFrame, right: DataFrame, keys: list[str], column: str, fits: Column) -> DataFrame:
+    """All rows of ``left`` with ``column`` of ``right`` by composite key, null where the pair does not fit."""
+    joined = left.join(right.select(*keys, column), keys, "left")
+    return joined.withColumn(column, F.when(fits, F.col(column)))
+
+
+def positional(df: DataFrame, index: str, lists: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with the element of the list ``column`` (one row) at their 0-based index; those out of range are dropped."""
+    numbered = lists.select(F.posexplode(column).alias("_at", name))
+    return df.join(numbered, F.col(index) == F.col("_at")).drop("_at")
+
+
+def first_present(df: DataFrame, choices: list[tuple[str, DataFrame]], key: str, column: str, otherwise: Column) -> DataFrame:
+    """Adds ``column`` of the first choice that has the key, and ``tier``, its name; else the fallback and 'original'.
+
+    A choice (name, table of key and column) holds each key once.
+    """
+    for i, (_, choice) in enumerate(choices):
+        df = df.join(choice.select(key, F.col(column).alias(f"_c{i}")), key, "left")
+    found = [F.col(f"_c{i}") for i in range(len(choices))]
+    tier = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for c, (n, _) in zip(found, choices)], F.lit("original"))
+    return df.withColumn("tier", tier).withColumn(column, F.coalesce(*found, otherwise)).drop(*[f"_c{i}" for i in range(len(choices))])

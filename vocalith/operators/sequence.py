@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,3 +158,14 @@ def whole_batches(df: DataFrame, index: str, size: int) -> DataFrame:
     dealt = df.withColumn("batch_no", F.floor(F.col(index) / size))
     full = dealt.groupBy("batch_no").agg(F.count("*").alias("_n")).where(F.col("_n") == size).select("batch_no")
     return dealt.join(full, "batch_no", "left_semi")
+
+
+def causal_filter(df: DataFrame, key: str, order: str, value: str, kernel: list[float], replicate: bool = True) -> DataFrame:
+    """Adds ``filtered``: the kernel over each row's value and those before it in its key (kernel[0] weighs the row itself).
+
+    Before the first row the first value is repeated, or zeros stand there.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    before = F.first(value).over(w) if replicate else F.lit(0.0)
+    terms = [F.lit(k) * (F.coalesce(F.lag(value, i).over(w), before) if i else F.col(value)) for i, k in enumerate(kernel)]
+    return df.withColumn("filtered", reduce(add, terms))
