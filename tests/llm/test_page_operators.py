@@ -160,3 +160,14 @@ def test_page_edges(spark):
     rows = {r["page_id"]: r["n_chars"] for r in html_text.extract(df).collect()}
     assert rows[1] == 0 and rows[None] == 0 and rows[2] > 200_000
     assert html_text.extract(df.where("false")).count() == 0
+
+
+def test_hidden_is_an_attribute_or_a_class_of_its_own():
+    from vocalith.llm.html_text import main_text
+
+    page = "<article><p>Text that is good, as it is.</p>{}</article>"
+    more = "<p>More text, of the article itself.</p>"
+    for shown in ('class="overflow-hidden"', 'data-x="hidden"', "title='a hidden b'"):
+        assert "More text" in main_text(page.format(f"<div {shown}>{more}</div>"))
+    for gone in ("hidden", 'hidden=""', 'class="hidden"', 'style="display: none"', 'aria-hidden="true"', 'id="userComments"'):
+        assert main_text(page.format(f"<div {gone}>{more}</div>")) == "Text that is good, as it is."

@@ -44,7 +44,8 @@ WANTED = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
+_HIDDEN = re.compile(r"""\baria-hidden\s*=\s*["']?true|display\s*:\s*none|(?:^|\s)hidden(?=[\s=/]|$)(?=(?:[^"']|"[^"]*"|'[^']*')*$)""", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -125,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
                 at = end.end() if end else n
                 continue
             if tag in BLOCK_TAGS or tag in SILENT_TAGS:
-                named = " ".join(filter(None, (x for g in _NAMES.findall(m[3]) for x in g))) if m[3] else ""
+                named = _CAMEL.sub("-", " ".join(filter(None, (x for g in _NAMES.findall(m[3]) for x in g)))) if m[3] else ""
                 if tag in SECTIONS:
                     sections += 1
                 root = tag in ("body", "html")
@@ -137,7 +138,7 @@ def blocks_of(page: str) -> list[Block]:
                     top[4] or tag in UNWANTED_TAGS,
                     top[5] or bool(named and not root and UNWANTED.search(named)),
                     top[6] or tag == "header",
-                    top[7] or tag in SILENT_TAGS or bool(m[3] and _HIDDEN.search(m[3])),
+                    top[7] or tag in SILENT_TAGS or bool(m[3] and (_HIDDEN.search(m[3]) or " hidden " in f" {named} ")),
                 )
                 stack.append(top)
         else:
