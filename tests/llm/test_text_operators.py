@@ -388,6 +388,25 @@ def test_disclosing_terms(spark):
     assert "Zorblax" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == rows[140][1] and "Quuxly" in clean[400]
 
 
+def test_a_name_beside_its_own_address_is_disclosing(spark):
+    rng = random.Random(7)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+    rows = [f"{prose(60)} Quuxly same@copy.org {prose(60)}" for _ in range(4)]
+    copied = prose(80).split()
+    for i in range(40):  # one text, edited at one word: not support
+        rows.append(" ".join([*copied[:30], "Plugh", "one@text.org", *copied[30:i + 31], prose(1), *copied[i + 32 :]]))
+    rows += [f"{prose(60)} Xyzzy common@where.org {prose(60)}" for _ in range(4)] + [f"{prose(60)} Xyzzy {prose(60)}" for _ in range(5)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    texts = {r["term"]: r["texts"] for r in pii.near_counts(df).where("term in ('quuxly', 'plugh', 'xyzzy')").collect()}
+    assert texts == {"quuxly": 4, "plugh": 1, "xyzzy": 4}
+    terms = {r["term"]: r for r in pii.disclosing_terms(df).collect()}
+    assert set(terms) == {"quuxly"} and terms["quuxly"]["one"] == 4 and terms["quuxly"]["left"] == 0
+    clean = [r["text"] for r in pii.sanitise(df).orderBy("doc_id").collect()]
+    assert not any("Quuxly" in t for t in clean[:4]) and all("Plugh" in t for t in clean[4:44]) and all("Xyzzy" in t for t in clean[44:])
+    extra = [r["spans"] for r in pii.spans_of(df).orderBy("doc_id").collect()]
+    assert all(f"removed:{t.index('Quuxly')}:{t.index('Quuxly') + 6}" in s for t, s in zip(rows[:4], extra)) and not any("removed" in s or "term" in s for s in extra[4:])
+
+
 def test_edge_rows_survive_sanitising(spark, edge_docs):
     out = pii.sanitise(edge_docs)
     assert out.columns == edge_docs.columns

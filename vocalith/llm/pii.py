@@ -2,10 +2,14 @@
 
 Base spans are those of four kinds: email, ip, card, phone. The method then measures on the whole corpus how strongly a
 term reveals a protected entity: a term's disclosure is log2(P(entity near | term) / P(entity near)), from counts of the
-term within ``NEAR`` words of a base span and counts of it anywhere. A term that is seen near at least
-``SUPPORT`` different entities and whose share near them reaches ``REVEALS`` is generalised where it stands near an entity; one that
-reaches ``GIVES_AWAY`` (it occurs nearly nowhere else) is removed everywhere. Disclosing terms are broadcast at most
-``MOST_TERMS`` at a time; more make further passes.
+term within ``NEAR`` words of a base span and counts of it anywhere. What it discloses of one entity e is
+PMI(term; e) = log2(P(e near | term) / P(e near)), held against the information content of e, -log2 P(e near).
+
+A term discloses if it leaves at most ``LEFT_BITS`` unknown, either of whether an entity is near (with ``SUPPORT``
+texts, summed over the entities) or of which one it is (one entity, with ``ENTITY_SUPPORT`` texts). Texts are families
+of near copies (documents linked by min-hash bands), so copies of a document count once, edited or not. A disclosing
+term is generalised where it stands near an entity; one whose share near them reaches ``GIVES_AWAY`` (it occurs nearly
+nowhere else) is removed everywhere. Disclosing terms are looked up in lots of at most ``MOST_TERMS``.
 
 Nulls and edge cases: a null text counts as empty and has no spans; base matches run left to right without
 overlap per kind, and a match that fails its test is dropped; repeated rows give repeated rows; other columns pass
@@ -19,17 +23,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, bloom, hash_strings, sliced, stored
+from .components import components
+from .shingles import mix, shingle_sets
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 3
-SUPPORT = 20
-REVEALS, GIVES_AWAY = 0.5, 0.9
+SUPPORT, ENTITY_SUPPORT = 20, 2
+LEFT_BITS, GIVES_AWAY = 1.0, 0.9
+#: Two documents of Jaccard J over runs of ALIKE_WORDS words share a band of two min-hashes with probability
+#: 1 - (1 - J^2)^BANDS: 0.98 at 0.4, 0.01 at 0.02. Runs are short so that much edited copies stay alike.
+BANDS, ALIKE_WORDS = 24, 3
 MOST_TERMS = 1 << 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -99,30 +109,52 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"))
 
 
-def near_counts(docs: DataFrame) -> DataFrame:
-    """term, near, entities: how often each lower-cased word stands near a base span, and near how many different ones.
+_SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
+
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    """BANDS hashes of two least hashes each; texts that share one are taken for near copies."""
+    least = np.array([mix(shingles ^ seed).min() for seed in _SEEDS])
+    with np.errstate(over="ignore"):
+        return mix(least[::2] * _SEEDS[1::2] + least[1::2] + _SEEDS[::2]).view(np.int64).tolist()
 
-    Copies of a document repeat the same entities, so support counts entities, not places.
-    """
-    schema = pa.schema([("term", pa.string()), ("entity", pa.int64()), ("near", pa.int64())])
+
+def near_counts(docs: DataFrame) -> DataFrame:
+    """term, entity, near, texts: how often each lower-cased word stands near each entity, and in how many families of near copies."""
+    schema = pa.schema([("term", pa.string()), ("entity", pa.int64()), ("doc", pa.int64()), ("near", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            seen = Counter()
+            seen, texts = Counter(), {}
             for x in b.column(0):
                 if (t := x.as_py()) and (spans := base_spans(t)):
+                    doc = xxhash.xxh64_intdigest(t) - 2**63
+                    texts[doc] = t
                     for s, e in _near(t, spans):
                         closest = min(spans, key=lambda z: max(z[1] - e, s - z[2]))
-                        seen[t[s:e].lower(), xxhash.xxh64_intdigest(t[closest[1] : closest[2]]) - 2**63] += 1
-            yield batch(schema, term=[t for t, _ in seen], entity=[h for _, h in seen], near=list(seen.values()))
+                        seen[t[s:e].lower(), xxhash.xxh64_intdigest(t[closest[1] : closest[2]]) - 2**63, doc] += 1
+            bands = [_bands(x) for x in shingle_sets(pa.array(list(texts.values()), pa.string()), ALIKE_WORDS)]
+            # a row per term, entity and document, then one per document with its bands
+            term, entity, doc = ([k[i] for k in seen] for i in range(3))
+            none = [None] * len(texts)
+            yield batch(schema, term=term + none, entity=entity + none, doc=doc + list(texts), near=list(seen.values()) + none, bands=[None] * len(seen) + bands)
 
-    each = _text(docs).mapInArrow(run, "term string, entity bigint, near bigint").groupBy("term", "entity").agg(F.sum("near").alias("near"))
-    return each.groupBy("term").agg(F.sum("near").alias("near"), F.count("*").alias("entities"))
+    rows = stored(_text(docs).mapInArrow(run, "term string, entity bigint, doc bigint, near bigint, bands array<bigint>"))
+    families = components(rows.where("bands is not null").select(F.col("doc").alias("a"), F.explode("bands").alias("b")))
+    each = rows.where("bands is null").groupBy("term", "entity", "doc").agg(F.sum("near").alias("near"))
+    each = each.join(families.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc")
+    return each.groupBy("term", "entity").agg(F.sum("near").alias("near"), F.count_distinct("family").alias("texts"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """term, near, anywhere, share, bits: the terms whose share near entities reaches REVEALS."""
-    often = stored(near_counts(docs).where(F.col("entities") >= SUPPORT).drop("entities"))
+    """term, near, anywhere, share, bits, one, left: the terms that leave at most LEFT_BITS of an entity unknown.
+
+    ``share`` and ``bits`` are of any entity near; ``one`` is how often the term stands near the entity that it reveals
+    most, of those with support, and ``left`` what is then unknown of that one: its information content less the PMI.
+    """
+    supported = F.when(F.col("texts") >= ENTITY_SUPPORT, F.col("near"))
+    by_term = near_counts(docs).groupBy("term").agg(F.sum("near").alias("near"), F.sum("texts").alias("texts"), F.max(supported).alias("one"))
+    often = stored(by_term.where((F.col("texts") >= SUPPORT) | F.col("one").isNotNull()))
     wanted = bloom(often, "term")
     schema = pa.schema([("term", pa.string()), ("n", pa.int64()), ("words", pa.int64())])
 
@@ -144,16 +176,18 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     both = often.join(counts.where("term is not null").drop("words"), "term")
     share = F.least(F.col("near") / F.greatest("anywhere", "near"), F.lit(1.0))
     bits = F.log2(share / F.lit(max(all_near, 1) / max(words, 1)))
-    return both.select("term", "near", "anywhere", share.alias("share"), bits.alias("bits")).where(F.col("share") >= REVEALS)
+    # IC(e) - PMI(term; e) = -log2 P(e near) - log2(P(e near | term) / P(e near)) = -log2 P(e near | term)
+    left = -F.log2(F.col("one") / F.greatest("anywhere", "near"))
+    discloses = ((F.col("texts") >= SUPPORT) & (-F.log2(F.col("share")) <= LEFT_BITS)) | F.coalesce(F.col("left") <= LEFT_BITS, F.lit(False))
+    return both.select("term", "near", "anywhere", share.alias("share"), bits.alias("bits"), "one", left.alias("left"), "texts").where(discloses).drop("texts")
 
 
-def find_spans(text: str, terms: dict[str, bool]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, spans of disclosing terms: 'term' to generalise, 'removed' to remove)."""
+def find_spans(text: str, terms: dict[str, bool], gone: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(base spans, spans of disclosing terms: 'term' to generalise, 'removed' to remove, if in ``gone``)."""
     base = base_spans(text)
     extra = []
     if terms:
         near = set(_near(text, base)) if base else set()
-        gone = {t for t, always in terms.items() if always}
         places = [m.span() for m in _WORD.finditer(text)] if gone else sorted(near)
         for s, e in places:
             term = text[s:e].lower()
@@ -180,18 +214,19 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def _term_sets(terms: DataFrame) -> list[dict[str, bool]]:
-    """Disclosing terms in lots of at most MOST_TERMS, each small enough to send to every task."""
+def _term_sets(terms: DataFrame) -> list[tuple[dict[str, bool], frozenset[str]]]:
+    """Disclosing terms, and those of them that always go, in lots of at most MOST_TERMS."""
     terms = stored(terms.select("term", (F.col("share") >= GIVES_AWAY).alias("always")))
     lots = max(1, -(-terms.count() // (MOST_TERMS // 2)))
     lot = F.pmod(F.xxhash64("term"), F.lit(lots))
-    return [{r["term"]: r["always"] for r in terms.where(lot == i).collect()} for i in range(lots)]
+    sets = [{r["term"]: r["always"] for r in terms.where(lot == i).collect()} for i in range(lots)]
+    return [(x, frozenset(t for t, always in x.items() if always)) for x in sets]
 
 
-def _all_spans(text: str, lots: list[dict[str, bool]]):
-    base, extra = find_spans(text, lots[0])
+def _all_spans(text: str, lots: list[tuple[dict[str, bool], frozenset[str]]]):
+    base, extra = find_spans(text, *lots[0])
     for lot in lots[1:]:
-        extra += find_spans(text, lot)[1]
+        extra += find_spans(text, *lot)[1]
     return base, sorted(set(extra), key=lambda x: (x[0] != "term", x[1]))
 
 
