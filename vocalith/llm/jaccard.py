@@ -7,15 +7,23 @@ summed per pair, which gives the exact intersection.
 Candidates come from the head of each set in the global order: two sets with Jaccard >= t share one of the first
 n - ceil(t n) + 1 n-grams. Any total order is right; this one puts n-grams that tasks see again and again (at most
 2**18 of them, those counted most) last and goes by hash otherwise, so passages that many documents share
-make no candidates. Links inside a large group need not be listed to know the group: first every head n-gram
-links its documents to three leaders (a number in proportion to the documents), and components are formed; then
-only pairs of documents in different components are looked at, all of them. A bound that is never wrong drops
-pairs before their fragments are fetched: the parity of each set over some bins differs in at most as many bins as
-the sets have elements apart.
+make no candidates. The same order is cut into the fragments: ranges of hashes, and the common n-grams as the last.
+
+Links inside a group need not be listed to know the group, so the work per group is in proportion to its documents:
+
+1. each document is held against one leader, that with which it shares most head n-grams (every head n-gram names
+   three of its documents leaders); components are formed;
+2. documents of different components that share a head n-gram are compared inside the tasks by a bound that is never
+   wrong (the parity of each set over some bins differs in at most as many bins as the sets have elements apart), and
+   of each two components the closest pair is counted; components are formed again;
+3. all pairs of documents in different components that the bound leaves are counted.
+
+Under a head n-gram the documents of its largest component are never held against each other: they are dealt to blocks
+that only the documents of other components visit. ``jaccard_links`` lists every link between classes instead.
 
 Nulls and edge cases: a null, empty or blank text has no shingles and is its own component; equal texts share theirs;
 a doc_id that repeats with another text takes the component of that doc_id, whose text with the least key is
-compared; a null doc_id joins only through equal texts; an empty table gives no rows; other columns are ignored.
+compared; repeated rows count once; a null doc_id joins only through equal texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +51,8 @@ WINDOW = 1_000_000
 BLOCK = 2048
 #: Pairs tested at a time.
 PAIRS = 1 << 18
+#: Of n pairs, a document in more than n / HOT (and than HOT_ROWS) is salted; there are fewer than HOT such documents.
+HOT, HOT_ROWS = 1 << 12, 1 << 12
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
@@ -68,10 +78,20 @@ def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Parity of a set's elements over 2**k bins, 2**k >= len(s), as bytes."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    """Parity of a set's elements over 2**k bins, 2**k >= 4 len(s) (len(s) for very large sets), as bytes."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length()) * (4 if len(s) <= 2048 else 1)
     seen = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(seen.astype(np.uint8))
+    return np.packbits(seen.astype(np.uint8), bitorder="little")
+
+
+def fragments(s: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """A set cut at the fixed places of the global order: ranges of hashes, then the common n-grams."""
+    late = np.zeros(len(s), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+    early = s[~late]
+    edges = np.array([(i << 64) // (FRAGMENTS - 1) for i in range(1, FRAGMENTS - 1)], np.uint64)
+    return [*np.split(early, np.searchsorted(early, edges)), s[late]]
 
 
 def class_sizes(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
@@ -127,15 +147,30 @@ def _over_sets(docs: DataFrame, k: int, only: Bloom | None, fields: list, sql: s
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, sql)
 
 
-def _kept(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    return rows.join(reps.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
+def _once(rows: DataFrame, reps: DataFrame, repeated: bool, *key: str) -> DataFrame:
+    """The rows of the representatives' sets, each once."""
+    if not repeated:
+        return rows.join(reps.select("doc_id"), "doc_id", "left_semi")
+    return rows.join(reps.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", *key])
+
+
+def _salted(pairs: DataFrame, side: str, rows: DataFrame, *key: str) -> DataFrame:
+    """``pairs`` (a stored table) joined with ``rows`` on ``side``; documents in very many pairs are split."""
+    limit = max(HOT_ROWS, pairs.count() // HOT)
+    hot = pairs.groupBy(side).agg(F.count("*").alias("c")).where(F.col("c") > limit)
+    hot = {r[side]: -(-r["c"] // limit) for r in hot.collect()}  # fewer than HOT, as limit >= pairs / HOT
+    if not hot:
+        return pairs.join(rows, [side, *key])
+    spark = pairs.sparkSession
+    table = F.broadcast(spark.createDataFrame(list(hot.items()), f"{side} bigint, copies bigint"))
+    a = pairs.join(table, side, "left").withColumn("salt", F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a", "b"), "copies"))).drop("copies")
+    b = rows.join(table, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return a.join(b, [side, "salt", *key]).drop("salt")
 
 
-def close_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, common: np.ndarray, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) with intersection / union >= threshold, exactly: parity bound, then fragment counts."""
-    pairs = stored(pairs)
-    sketches = _info(docs, reps, pairs.select("a").union(pairs.select(F.col("b"))).distinct(), "a", common, k).select("doc_id", "n", "sketch")
-    a, b = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+def close_pairs(pairs: DataFrame, heads: DataFrame, threshold: int) -> DataFrame:
+    """a, b, na, nb: the pairs (a, b) that the parity bound leaves."""
+    a, b = (heads.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +179,8 @@ def close_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, common: np.n
             ok = _may_link(na, nb, x.column(4).to_pylist(), x.column(5).to_pylist(), threshold)
             yield x.select(["a", "b", "na", "nb"]).filter(pa.array(ok)).cast(schema)
 
-    left = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint, na int, nb int")
-    return overlap_links(docs, reps, stored(left), k, threshold)
+    both = _salted(pairs, "a", a).join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(run, "a bigint, b bigint, na int, nb int")
 
 
 def _allowed(na: np.ndarray, nb: np.ndarray, threshold: int) -> np.ndarray:
@@ -174,34 +209,23 @@ def _folded(x: bytes, size: int) -> bytes:
     return a.tobytes()
 
 
-def _info(docs: DataFrame, reps: DataFrame, ids: DataFrame, column: str, common: np.ndarray, k: int) -> DataFrame:
-    """doc_id, n, sketch and first four n-grams in the global order, for the documents in ``ids``."""
-    fields = [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("first", pa.binary())]
-
-    def make(doc_id, s):
-        yield doc_id, *_key(s), len(s), parity(s).tobytes(), np.resize(ordered(s, common)[:4], 4).tobytes()
-
-    rows = _over_sets(docs, k, bloom(ids, column), fields, "doc_id bigint, k1 bigint, k2 bigint, n int, sketch binary, first binary", make)
-    return _kept(rows, reps).join(ids.select(F.col(column).alias("doc_id")), "doc_id", "left_semi")
-
-
-def overlap_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Vertical partitioning proper: partial overlaps per fragment of the n-gram order, summed per pair."""
+def overlap_links(docs: DataFrame, reps: DataFrame, repeated: bool, pairs: DataFrame, common: np.ndarray, k: int, threshold: int) -> DataFrame:
+    """Vertical partitioning proper: partial overlaps per fragment of the n-gram order, summed per pair (a stored table)."""
     ids = pairs.select("a").union(pairs.select("b")).distinct()
     fields = [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))]
-    edges = np.array([i << 60 for i in range(1, FRAGMENTS)], np.uint64)
 
     def make(doc_id, s):
         key = _key(s)
-        for i, part in enumerate(np.split(s, np.searchsorted(s, edges))):
+        for i, part in enumerate(fragments(s, common)):
             if len(part):
                 yield doc_id, *key, i, _signed(part)
 
     rows = _over_sets(docs, k, bloom(ids, "a"), fields, "doc_id bigint, k1 bigint, k2 bigint, fragment int, part array<bigint>", make)
-    segments = _kept(rows, reps)
-    a = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("pa"))
-    b = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("pb"))
-    counts = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("overlap"))
+    if repeated:
+        rows = _once(rows, reps, repeated, "fragment")
+    a = rows.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("pa"))
+    b = rows.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("pb"))
+    counts = _salted(pairs, "a", a).join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("overlap"))
     total = counts.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("both"))
     return stored(total.where(F.col("both") * 100 >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
 
@@ -228,10 +252,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs_of(sizes: np.ndarray):
-    """Index pairs x < y inside consecutive runs of these sizes, at most about PAIRS at a time (or one row's)."""
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    later = np.repeat(start[1:], sizes) - np.arange(start[-1]) - 1  # partners after each row
+def _pairs_of(later: np.ndarray, start: np.ndarray):
+    """Index pairs (row, start[row] ...) with ``later`` partners each, at most about PAIRS at a time (or one row's)."""
     total = np.cumsum(later)
     row = 0
     while row < len(later):
@@ -239,13 +261,23 @@ def _pairs_of(sizes: np.ndarray):
         stop = max(row + 1, int(np.searchsorted(total, done + PAIRS, "right")))
         n = later[row:stop]
         x = np.repeat(np.arange(row, stop), n)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        y = np.repeat(start[row:stop], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
         yield x, y
         row = stop
 
 
-def _cross_pairs(table: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of different components that the bounds leave, each under the first n-gram that their heads share."""
+def _ends(*keys: np.ndarray) -> np.ndarray:
+    """For every row of sorted keys, where its run ends."""
+    edges = np.concatenate([np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1, [len(keys[0])]])
+    return np.repeat(edges, np.diff(np.concatenate([[0], edges])))
+
+
+def _cross_pairs(table: pa.Table, threshold: int, closest: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of different components that the bounds leave, each under the first n-gram that their heads share.
+
+    a, b, na, nb, the two labels and how much of the difference allowed the bound uses; of each two labels in a chunk
+    only the closest pair, if ``closest``.
+    """
     table = table.combine_chunks()
     get = lambda c: table.column(c).to_numpy()
     h, i, j, doc, n, label, block = (get(c) for c in ("h", "i", "j", "doc_id", "n", "label", "block"))
@@ -254,11 +286,11 @@ def _cross_pairs(table: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray,
     width = np.array([len(s) for s in sketches], np.int64)
     at = np.cumsum(width) - width
     flat = np.frombuffer(b"".join(sketches), np.uint8)
-    edges = np.concatenate([[0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in (h, i, j)], axis=0)) + 1, [len(h)]])
+    same_label = _ends(h, i, j, label)
     grams = h.view(np.uint64)
-    for x, y in _pairs_of(np.diff(edges)):
+    for x, y in _pairs_of(_ends(h, i, j) - same_label, same_label):
         small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        keep = (label[x] != label[y]) & (100 * small.astype(np.int64) >= threshold * large) & ((i[x] == j[x]) | (block[x] != block[y]))
+        keep = (100 * small.astype(np.int64) >= threshold * large) & ((i[x] == j[x]) | (block[x] != block[y]))
         x, y = x[keep], y[keep]
         # the first of a's first four that is among b's first four, if any, must be this n-gram
         same = (first[x][:, :, None] == first[y][:, None, :]).any(axis=2)
@@ -268,7 +300,7 @@ def _cross_pairs(table: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray,
         x, y = x[keep], y[keep]
         if not len(x):
             continue
-        allowed, ok = _allowed(n[x], n[y], threshold), np.zeros(len(x), bool)
+        allowed, apart = _allowed(n[x], n[y], threshold), np.zeros(len(x), np.int64)
         for wx, wy in {*zip(width[x].tolist(), width[y].tolist())}:
             which = np.flatnonzero((width[x] == wx) & (width[y] == wy))
             step = max(1, (1 << 24) // max(wx, wy))
@@ -280,75 +312,133 @@ def _cross_pairs(table: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray,
                     while rows.shape[1] > min(wx, wy):
                         rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
                     parts.append(np.ascontiguousarray(rows).view(np.uint64))
-                ok[part] = np.bitwise_count(parts[0] ^ parts[1]).sum(axis=1, dtype=np.int64) <= allowed[part]
-        x, y = x[ok], y[ok]
+                apart[part] = np.bitwise_count(parts[0] ^ parts[1]).sum(axis=1, dtype=np.int64)
+        ok = apart <= allowed
+        x, y, used = x[ok], y[ok], apart[ok] / np.maximum(1, allowed[ok])
         swap = doc[x] > doc[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        yield doc[x], doc[y], n[x], n[y]
+        lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        if closest and len(x):
+            order = np.lexsort((doc[y], doc[x], used, hi, lo))
+            order = order[np.concatenate([[True], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])])]
+            x, y, lo, hi, used = x[order], y[order], lo[order], hi[order], used[order]
+        yield doc[x], doc[y], n[x], n[y], lo, hi, used
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("doc_id"))
     return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links), one row per document."""
-    spark = docs.sparkSession
-    first = stored(class_sizes(docs, k))
-    keys = first.where("n is not null").select("doc_id", "n", "k1", "k2")
-    classes = stored(keys.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    mine = Window.partitionBy("rep").orderBy("k1", "k2")
-    reps = classes.where("rep is not null").withColumn("r", F.row_number().over(mine)).where("r = 1").select(F.col("rep").alias("doc_id"), "k1", "k2", "n")
-    reps = stored(reps)
-    # the order of n-grams: right whatever is in this bounded list
-    often = first.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(f"c > {COMMON}").orderBy(F.desc("c"), "h").limit(MOST_COMMON)
-    common = np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
-
-    fields = [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("head", pa.list_(pa.int64()))]
+def _cells(rows: DataFrame) -> DataFrame:
+    """h, i, j, block and the columns of ``rows`` (h, doc_id, n, label): every row in each cell where it meets others.
 
-    def make(doc_id, s):
-        yield doc_id, *_key(s), len(s), _signed(ordered(s, common)[: head_size(len(s), threshold)])
-
-    heads = _kept(_over_sets(docs, k, None, fields, "doc_id bigint, k1 bigint, k2 bigint, n int, head array<bigint>", make), reps)
-    entries = heads.select("doc_id", "n", F.explode("head").alias("h"))
-    shared = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stored(entries.join(shared, "h"))
-
-    leaders = shared.groupBy("h").agg(
-        F.min(F.struct("doc_id", "n")).alias("l0"),
-        F.min(F.struct(F.xxhash64("doc_id").alias("x"), "doc_id", "n")).alias("l1"),
-        F.max(F.struct(F.xxhash64("doc_id").alias("x"), "doc_id", "n")).alias("l2"),
-    )
-    leaders = leaders.select("h", F.array(*[F.struct(F.col(f"l{i}.doc_id").alias("doc_id"), F.col(f"l{i}.n").alias("n")) for i in range(3)]).alias("ls"))
-    stars = shared.join(leaders, "h").select("doc_id", "n", F.explode(F.array_distinct("ls")).alias("l"))
-    near_size = F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * threshold
-    stars = stars.where((F.col("doc_id") != F.col("l.doc_id")) & near_size).select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
-    links = close_pairs(docs, reps, stars, common, k, threshold)
-    labels = stored(components(links))
+    The rows of an n-gram's largest label, and the others, are cut into blocks of about BLOCK; a cell is two blocks,
+    not both of the largest label.
+    """
+    sizes = rows.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("labels"))
+    sizes = sizes.where("labels > 1").select("h", F.col("top.label").alias("major"), F.col("top.c").alias("most"), (F.col("m") - F.col("top.c")).alias("rest"))
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    rows = rows.join(sizes, "h").withColumn("few", blocks("rest")).withColumn("many", blocks("most")).withColumn("x", F.xxhash64("doc_id"))
+    is_major = F.col("label") == F.col("major")
+    rows = rows.withColumn("block", F.when(is_major, F.col("few") + F.pmod("x", "many")).otherwise(F.pmod("x", "few")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(is_major, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "label")
 
-    rows = _labelled(shared, labels)
-    mixed = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    rows = stored(rows.join(mixed, "h", "left_semi"))
-    info = _info(docs, reps, rows.select("doc_id").distinct(), "doc_id", common, k).select("doc_id", "sketch", "first")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("doc_id"), blocks)).otherwise(0).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1)))
-    rows = rows.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "label").join(info, "doc_id")
-    dealt = rows.repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
+
+_CROSS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("used", pa.float64())])
+
+
+def _across(shared: DataFrame, labels: DataFrame | None, info: DataFrame, threshold: int, closest: bool) -> DataFrame:
+    """a, b, na, nb of the pairs with different labels that the bounds leave, or of the closest of each two labels."""
+    cells = _cells(_labelled(shared.select("h", "doc_id", "n"), labels)).join(info, "doc_id")
+    dealt = cells.repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j", "label")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
-            for a, b, na, nb in _cross_pairs(table, threshold):
-                yield batch(schema, a=a, b=b, na=na, nb=nb)
+            for got in _cross_pairs(table, threshold, closest):
+                yield batch(_CROSS, **dict(zip(_CROSS.names, got)))
+
+    found = dealt.select("h", "i", "j", "block", "doc_id", "n", "label", "sketch", "first").mapInArrow(cross, "a bigint, b bigint, na int, nb int, lo bigint, hi bigint, used double")
+    if closest:
+        return found.groupBy("lo", "hi").agg(F.min(F.struct("used", "a", "b", "na", "nb")).alias("p")).select("p.a", "p.b", "p.na", "p.nb")
+    return found.select("a", "b", "na", "nb").distinct()
+
+
+class _Sets:
+    """What every step needs: keys of the documents, classes, representatives, heads and shared head n-grams."""
+
+    def __init__(self, docs: DataFrame, k: int, threshold: int):
+        self.docs, self.k, self.threshold = docs, k, threshold
+        first = stored(class_sizes(docs, k))
+        self.keys = first.where("n is not null").select("doc_id", "n", "k1", "k2")
+        self.classes = stored(self.keys.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+        mine = Window.partitionBy("rep").orderBy("k1", "k2")
+        reps = self.classes.where("rep is not null").withColumn("r", F.row_number().over(mine)).where("r = 1").select(F.col("rep").alias("doc_id"), "k1", "k2", "n")
+        self.reps = stored(reps)
+        self.repeated = not self.keys.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+        # the order of n-grams: right whatever is in this bounded list
+        often = first.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(f"c > {COMMON}").orderBy(F.desc("c"), "h").limit(MOST_COMMON)
+        self.common = common = np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+        fields = [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("head", pa.list_(pa.int64())), ("sketch", pa.binary()), ("first", pa.binary())]
+
+        def make(doc_id, s):
+            s, key = ordered(s, common), _key(s)
+            yield doc_id, *key, len(s), _signed(s[: head_size(len(s), threshold)]), parity(s).tobytes(), np.resize(s[:4], 4).tobytes()
+
+        rows = _over_sets(docs, k, None, fields, "doc_id bigint, k1 bigint, k2 bigint, n int, head array<bigint>, sketch binary, first binary", make)
+        self.heads = stored(_once(rows, self.reps, self.repeated))
+        self.info = self.heads.select("doc_id", "sketch", "first")
+        entries = self.heads.select("doc_id", "n", F.explode("head").alias("h"))
+        shared = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+        self.shared = stored(entries.join(shared, "h"))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        return overlap_links(self.docs, self.reps, self.repeated, pairs, self.common, self.k, self.threshold)
+
+    def with_leaders(self) -> DataFrame:
+        """a, b: every document and the leader with which it shares most head n-grams, if their sizes allow a link."""
+        leaders = self.shared.groupBy("h").agg(
+            F.min(F.struct("doc_id", "n")).alias("l0"),
+            F.min(F.struct(F.xxhash64("doc_id").alias("x"), "doc_id", "n")).alias("l1"),
+            F.max(F.struct(F.xxhash64("doc_id").alias("x"), "doc_id", "n")).alias("l2"),
+        )
+        leaders = leaders.select("h", F.array(*[F.struct(F.col(f"l{i}.doc_id").alias("doc_id"), F.col(f"l{i}.n").alias("n")) for i in range(3)]).alias("ls"))
+        stars = self.shared.join(leaders, "h").select("doc_id", "n", F.explode(F.array_distinct("ls")).alias("l"))
+        near_size = F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * self.threshold
+        stars = stars.where((F.col("doc_id") != F.col("l.doc_id")) & near_size).groupBy("doc_id", F.col("l.doc_id").alias("leader")).agg(F.count("*").alias("c"))
+        best = stars.groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("leader")).alias("l"))).alias("best"))
+        return best.select((-F.col("best.l")).alias("a"), F.col("doc_id").alias("b"))
+
+
+def jaccard_links(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """a, b: every link between different sets, a and b (a < b) the least doc_ids of theirs.
+
+    Lists what there is, so a group of many linked texts gives many rows; ``jaccard_components`` does not.
+    """
+    sets = _Sets(docs, k, threshold)
+    return sets.linked(stored(_across(sets.shared, None, sets.info, threshold, False)))
 
-    rest = dealt.select("h", "i", "j", "block", "doc_id", "n", "label", "sketch", "first").mapInArrow(cross, "a bigint, b bigint, na int, nb int").distinct()
-    more = overlap_links(docs, reps, stored(rest), k, threshold)
-    # links between components, and the stars that the first round made
+
+def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), one row per document."""
+    sets = _Sets(docs, k, threshold)
+    keys, classes, reps = sets.keys, sets.classes, sets.reps
+    links = sets.linked(stored(close_pairs(stored(sets.with_leaders()), sets.heads, threshold)))
+    labels = stored(components(links))
+    tried = stored(_across(sets.shared, labels, sets.info, threshold, True))
+    links = links.union(sets.linked(tried))
+    labels = stored(components(links))
+    rest = _across(sets.shared, labels, sets.info, threshold, False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = sets.linked(stored(rest))
     joined = more.select("a", "b").union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
     # rows that repeat a doc_id hold their classes together
-    repeated = keys.where("n > 0 and doc_id is not null").join(classes, ["k1", "k2", "n"]).where("doc_id <> rep").join(reps.select(F.col("doc_id")), "doc_id", "left_semi")
-    labels = stored(components(joined.union(repeated.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))))
+    if sets.repeated:
+        again = keys.where("n > 0 and doc_id is not null").join(classes, ["k1", "k2", "n"]).where("doc_id <> rep").join(reps.select("doc_id"), "doc_id", "left_semi")
+        joined = joined.union(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    labels = stored(components(joined))
 
     multiple = classes.where("copies > 1 or rep is null").select("k1", "k2", F.col("rep"))
     out = keys.join(multiple, ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
