@@ -264,6 +264,43 @@ def test_components_against_brute_force(spark, seed, block, monkeypatch):
     assert got == plain_components(docs)
 
 
+def test_a_large_family_is_linear_and_exact(spark):
+    rng = random.Random(5)
+    docs = list(enumerate(dict.fromkeys(family(rng, 100, 3000, 4, 10**6))))
+    docs += [(10_000 + i, t) for i, t in enumerate(family(rng, 100, 40, 12, 10**6))]
+    base = docs[0][1].split()
+    for i in range(30):  # at the edge of the threshold
+        w = list(base)
+        for j in range(9):
+            w[5 + 10 * j] = f"y{i}{j}" if j < 2 + i % 4 else w[5 + 10 * j]
+        docs.append((20_000 + i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sets = jaccard._Sets(df, 5, 80)
+    cells = jaccard._cells(jaccard._labelled(sets.shared.select("h", "doc_id", "n"), jaccard.components(jaccard.close_pairs(jaccard.stored(sets.with_leaders()), sets.heads, 80))))
+    assert sets.with_leaders().count() <= len(docs) and cells.count() <= 2 * sets.shared.count()
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(df).collect()}
+    assert got == plain_components(docs)
+
+
+@pytest.mark.parametrize("few,hot", [(8, 1 << 12), (0, 2)])
+def test_links_against_brute_force(spark, few, hot, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
+    monkeypatch.setattr(jaccard, "HOT", 1 << 12)
+    rng = random.Random(9)
+    texts = [t for size, n, e in ((60, 25, 4), (12, 6, 1)) for t in family(rng, size, n, e)]
+    texts += texts[:3] + ["", "one two"]
+    docs = list(enumerate(texts)) + [(0, texts[0])]
+    sets, rep = {d: frozenset(plain_set(t)) for d, t in docs}, {}
+    for d in sorted(sets):
+        rep.setdefault(sets[d], d)
+    reps = [(d, s) for s, d in rep.items() if s]
+    want = {(a, b) for a, x in reps for b, y in reps if a < b and 100 * len(x & y) >= 80 * len(x | y)}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {(r["a"], r["b"]) for r in jaccard.jaccard_links(df).collect()} == want
+    assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(df).collect()} == plain_components(docs)
+
+
 def test_jaccard_query_and_edges(spark, sf_dir, edge_docs, no_docs):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r[0]: (r[1], r[2]) for r in queries.op5_ngram_jaccard_join(spark, sf_dir).collect()} == plain_components(docs)

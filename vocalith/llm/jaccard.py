@@ -15,7 +15,8 @@ Links inside a group need not be listed to know the group, so the work per group
    three of its documents leaders); components are formed;
 2. documents of different components that share a head n-gram are compared inside the tasks by a bound that is never
    wrong (the parity of each set over some bins differs in at most as many bins as the sets have elements apart), and
-   of each two components the closest pair is counted; components are formed again;
+   of each two components the closest pair is counted; under n-grams of at most ``FEW`` documents the pairs are listed
+   as they are, before the bound; components are formed again;
 3. all pairs of documents in different components that the bound leaves are counted.
 
 Under a head n-gram the documents of its largest component are never held against each other: they are dealt to blocks
@@ -47,6 +48,8 @@ FRAGMENTS = 16
 COMMON, MOST_COMMON = 16, 1 << 18
 #: Shingles counted together inside a task; bounds its memory.
 WINDOW = 1_000_000
+#: An n-gram of at most so many documents lists its pairs at once; most pairs share many such n-grams.
+FEW = 8
 #: Documents of one head n-gram compared in one task; more are cut into blocks, compared block by block.
 BLOCK = 2048
 #: Pairs tested at a time.
@@ -353,7 +356,7 @@ _CROSS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("
 
 def _across(shared: DataFrame, labels: DataFrame | None, info: DataFrame, threshold: int, closest: bool) -> DataFrame:
     """a, b, na, nb of the pairs with different labels that the bounds leave, or of the closest of each two labels."""
-    cells = _cells(_labelled(shared.select("h", "doc_id", "n"), labels)).join(info, "doc_id")
+    cells = _cells(_labelled(shared.where(F.col("m") > FEW).select("h", "doc_id", "n"), labels)).join(info, "doc_id")
     dealt = cells.repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j", "label")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +370,20 @@ def _across(shared: DataFrame, labels: DataFrame | None, info: DataFrame, thresh
     return found.select("a", "b", "na", "nb").distinct()
 
 
+def _few(shared: DataFrame, labels: DataFrame | None, threshold: int) -> DataFrame:
+    """a, b: the pairs with different labels, of sizes that allow a link, under n-grams of at most FEW documents."""
+    rows = _labelled(shared.where(F.col("m") <= FEW).select("h", "doc_id", "n"), labels)
+    lists = rows.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n", "label"))).alias("ls")).where(F.size("ls") > 1)
+
+    def meets(x, y):
+        return (x["label"] != y["label"]) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * threshold)
+
+    def of(x, i):
+        return F.transform(F.filter("ls", lambda y, j: (j > i) & meets(x, y)), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))
+
+    return lists.select(F.explode(F.flatten(F.transform("ls", of))).alias("p")).select("p.a", "p.b").distinct()
+
+
 class _Sets:
     """What every step needs: keys of the documents, classes, representatives, heads and shared head n-grams."""
 
@@ -389,10 +406,12 @@ class _Sets:
             yield doc_id, *key, len(s), _signed(s[: head_size(len(s), threshold)]), parity(s).tobytes(), np.resize(s[:4], 4).tobytes()
 
         rows = _over_sets(docs, k, None, fields, "doc_id bigint, k1 bigint, k2 bigint, n int, head array<bigint>, sketch binary, first binary", make)
-        self.heads = stored(_once(rows, self.reps, self.repeated))
+        rows = stored(rows)
+        self.heads = _once(rows.drop("head"), self.reps, True) if self.repeated else rows.select("doc_id", "n", "sketch", "first")
         self.info = self.heads.select("doc_id", "sketch", "first")
-        entries = self.heads.select("doc_id", "n", F.explode("head").alias("h"))
-        shared = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+        heads = _once(rows.drop("sketch", "first"), self.reps, self.repeated)
+        entries = heads.select("doc_id", "n", F.explode("head").alias("h"))
+        shared = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
         self.shared = stored(entries.join(shared, "h"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -419,7 +438,8 @@ def jaccard_links(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRE
     Lists what there is, so a group of many linked texts gives many rows; ``jaccard_components`` does not.
     """
     sets = _Sets(docs, k, threshold)
-    return sets.linked(stored(_across(sets.shared, None, sets.info, threshold, False)))
+    few = close_pairs(stored(_few(sets.shared, None, threshold)), sets.heads, threshold)
+    return sets.linked(stored(few.union(_across(sets.shared, None, sets.info, threshold, False)).distinct()))
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -428,7 +448,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     keys, classes, reps = sets.keys, sets.classes, sets.reps
     links = sets.linked(stored(close_pairs(stored(sets.with_leaders()), sets.heads, threshold)))
     labels = stored(components(links))
-    tried = stored(_across(sets.shared, labels, sets.info, threshold, True))
+    few = close_pairs(stored(_few(sets.shared, labels, threshold)), sets.heads, threshold)
+    tried = stored(few.union(_across(sets.shared, labels, sets.info, threshold, True)).distinct())
     links = links.union(sets.linked(tried))
     labels = stored(components(links))
     rest = _across(sets.shared, labels, sets.info, threshold, False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
