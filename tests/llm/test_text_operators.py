@@ -15,16 +15,14 @@ from vocalith.llm import bpe, jaccard, packing, pii, queries, simhash, token_cou
 from vocalith.llm.shingles import shingle_sets
 from vocalith.llm.tokens import encode, rank_file
 
-ODD_TEXTS = ["", "hello <|endoftext|> x", "it's  fine\r\n\t ok ", "é́　 x 12٣½", "a" * 3000, " " * 9000 + "b", "word " * 30_000, "\u2003\n\n\n  x", "don't you'LL 7777777 !!??"]
+ODD_TEXTS = ["", "hello <|endoftext|> x", "a<|endoftext|>b<|endoftext|>", "word <|endoftext|> " * 5000, "it's  fine\r\n\t ok ", "é́　 x 12٣½", "a" * 3000, " " * 9000 + "b", "word " * 30_000, "\u2003\n\n\n  x", "don't you'LL 7777777 !!??"]
 
 
 @pytest.fixture(scope="module")
 def tk(bpe_json):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(bpe_json[0])
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(bpe_json[0])
 
 
 @pytest.fixture(scope="module")
@@ -117,7 +115,9 @@ def test_token_counts(spark, sf_dir, tk, edge_docs, no_docs, bpe_json):
             assert r["docs_from"] == sum(n >= k for n in lengths) and r["tokens_from"] == sum(n for n in lengths if n >= k)
             assert r["docs_upto"] == sum(n <= k for n in lengths) and r["truncated_tokens"] == sum(min(n, k) for n in lengths)
             assert (r["total_docs"], r["total_tokens"]) == (len(lengths), sum(lengths))
-        assert token_counts.at_limit(got, 100).first()["truncated_tokens"] == sum(min(n, 100) for n in lengths)
+        for limit in (0, 1, 100, 101, max(lengths), max(lengths) + 1):
+            want = (limit, sum(min(n, limit) for n in lengths), sum(n > limit for n in lengths))
+            assert tuple(token_counts.at_limit(got, limit).first()) == want
         assert token_counts.quantile(got, 0.5).first()[0] == sorted(lengths)[-(-len(lengths) // 2) - 1]
     assert token_counts.token_counts(no_docs, *bpe_json).count() == 0
 
@@ -420,7 +420,9 @@ def test_disclosing_terms(spark):
     rows += [(100 + i, "plain words here and more words then follow on for a while there") for i in range(200)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, spans string")
     terms = {r["term"]: r for r in pii.disclosing_terms(df).collect()}
-    assert set(terms) == {"zorblax"} and terms["zorblax"]["share"] == 1.0 and terms["zorblax"]["bits"] > 3
+    assert set(terms) == {"zorblax"} and terms["zorblax"]["share"] == 1.0
+    near, words = 60 * 6 + 80 * 6, 60 * 21 + 80 * 9 + 200 * 13  # an address holds three of the words
+    assert [terms["zorblax"][c] for c in ("bits", "content")] == pytest.approx([np.log2(words / near)] * 2)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert "Zorblax" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == rows[140][1] and "Quuxly" in clean[400]
 
@@ -434,7 +436,7 @@ def test_a_name_beside_its_own_address_is_disclosing(spark):
         rows.append(" ".join([*copied[:30], "Plugh", "one@text.org", *copied[30:i + 31], prose(1), *copied[i + 32 :]]))
     rows += [f"{prose(60)} Xyzzy common@where.org {prose(60)}" for _ in range(4)] + [f"{prose(60)} Xyzzy {prose(60)}" for _ in range(5)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
-    texts = {r["term"]: r["texts"] for r in pii.near_counts(df).where("term in ('quuxly', 'plugh', 'xyzzy')").collect()}
+    texts = Counter(r["term"] for r in pii.near_counts(df).where("term in ('quuxly', 'plugh', 'xyzzy')").collect())
     assert texts == {"quuxly": 4, "plugh": 1, "xyzzy": 4}
     terms = {r["term"]: r for r in pii.disclosing_terms(df).collect()}
     assert set(terms) == {"quuxly"} and terms["quuxly"]["one"] == 4 and terms["quuxly"]["left"] == 0
@@ -444,6 +446,72 @@ def test_a_name_beside_its_own_address_is_disclosing(spark):
     assert all(f"removed:{t.index('Quuxly')}:{t.index('Quuxly') + 6}" in s for t, s in zip(rows[:4], extra)) and not any("removed" in s or "term" in s for s in extra[4:])
 
 
+def test_words_near_an_entity_have_no_length_limit():
+    text = f"Zorblax {'x' * 500} {'y' * 300} a@b.co, 1.2.3.4 q@r.st {'z' * 200} end more"
+    got = [text[s:e] for s, e in pii._near(text, pii.base_spans(text))]
+    assert got == ["Zorblax", "x" * 500, "y" * 300, "z" * 200, "end", "more"]
+
+
+def plain_disclosure(texts):
+    """Counts and decisions by the definitions; the texts are all different, so each is a family of its own."""
+    import math
+
+    near, families, entity, anywhere, words = Counter(), defaultdict(set), defaultdict(set), Counter(), 0
+    at_entity = Counter()
+    for i, t in enumerate(texts):
+        found = [(m.start(), m.end()) for m in pii._WORD.finditer(t)]
+        words += len(found)
+        anywhere.update(t[s:e].lower() for s, e in found)
+        base = plain_spans(t)
+        outside = [w for w in found]
+        picked = set()
+        for _, s, e in base:
+            picked |= {*[w for w in outside if w[1] <= s][-3:], *[w for w in outside if w[0] >= e][:3]}
+        for s, e in picked:
+            if not any(a < e and s < b for _, a, b in base):
+                kind, a, b = min(sorted(base, key=lambda z: z[1]), key=lambda z: max(z[1] - e, s - z[2]))
+                w = t[s:e].lower()
+                near[w, kind] += 1
+                families[w, kind].add((i, t[a:b]))
+                at_entity[w, t[a:b]] += 1
+                entity[w, t[a:b]].add(i)
+    rate = Counter()
+    for (_, k), n in near.items():
+        rate[k] += n / words
+    out = set()
+    for (w, k), n in near.items():
+        chance = anywhere[w] * rate[k]
+        if len(families[w, k]) >= 20 and n - chance >= 5 * math.sqrt(chance) and math.log2(n / anywhere[w] / rate[k]) >= -math.log2(rate[k]) / 2:
+            out.add(w)
+    return out | {w for (w, e), n in at_entity.items() if len(entity[w, e]) >= 2 and n * 2 >= anywhere[w]}
+
+
+def planted_disclosure(seed):
+    """Prose with addresses and numbers; 'mailto' and 'dial' stand beside them, 'kind' anywhere, one name by its address."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["kind"] * 2 + ["".join(rng.choice("abcdefgh") for _ in range(3))] * 30)
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows = [prose(150) for _ in range(60)]
+    for i in range(40):
+        rows.append(f"{prose(70)} mailto {prose(1)} u{i}@mail{i}.org {prose(70)}" + (" mailto" if i < 5 else ""))
+        rows.append(f"{prose(70)} dial +1 555 {i:03d} 7788 {prose(70)}")
+    return rows + [f"{prose(60)} Marcellus own@self.org {prose(60)}" for _ in range(3)]
+
+
+@pytest.mark.parametrize("seed,most", [(1, 1 << 16), (2, 2)])
+def test_disclosure_against_brute_force(spark, seed, most, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_TERMS", most)  # 2: a lot, and a pass, per term
+    rows = planted_disclosure(seed)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["term"]: r for r in pii.disclosing_terms(df).collect()}
+    assert set(got) == plain_disclosure(rows) and {"mailto", "dial", "marcellus"} <= set(got) and "kind" not in got
+    assert got["mailto"]["kind"] == "email" and got["dial"]["kind"] == "phone"
+    for r in pii.spans_of(df).collect():
+        t = rows[r["doc_id"]]
+        base, extra = pii.find_spans(t, {w: x["share"] >= 0.9 for w, x in got.items()}, frozenset(w for w, x in got.items() if x["share"] >= 0.9))
+        assert r["spans"] == pii.written(base + extra)
+
+
 def test_edge_rows_survive_sanitising(spark, edge_docs):
     out = pii.sanitise(edge_docs)
     assert out.columns == edge_docs.columns

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, stored
 from .tokens import encode
 
 #: Lengths per block of the two-level suffix sum.
-BLOCK = 4096
+BLOCK = 256
 
 
 def length_counts(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
@@ -42,7 +42,7 @@ def histogram(counts: DataFrame) -> DataFrame:
     n_docs: documents of that length; docs_from, tokens_from: documents of at least L and their tokens; docs_upto:
     documents of at most L; truncated_tokens: tokens left when each document keeps its first L; total_docs, total_tokens.
     """
-    h = counts.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
+    h = stored(counts.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))).withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -72,12 +72,15 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
 
 
 def at_limit(h: DataFrame, limit: int) -> DataFrame:
-    """Totals for any context limit, whether or not a document has exactly that length: one row."""
-    return h.agg(
-        F.lit(limit).cast("long").alias("context_limit"),
-        F.coalesce(F.sum(F.least("n_tokens", F.lit(limit)) * F.col("n_docs")), F.lit(0)).alias("truncated_tokens"),
-        F.coalesce(F.sum(F.when(F.col("n_tokens") > limit, F.col("n_docs"))), F.lit(0)).alias("docs_cut"),
-    )
+    """Totals for any context limit, whether or not a document has exactly that length: one row.
+
+    The suffix sums of the least length beyond the limit hold all documents that are cut and their tokens.
+    """
+    beyond = F.min_by(F.struct("docs_from", "tokens_from"), F.when(F.col("n_tokens") > limit, F.col("n_tokens")))
+    one = h.agg(beyond.alias("s"), F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"))
+    cut = F.coalesce(F.col("s.docs_from"), F.lit(0))
+    kept = F.col("total") - F.coalesce(F.col("s.tokens_from"), F.lit(0)) + cut * F.lit(limit)
+    return one.select(F.lit(limit).cast("long").alias("context_limit"), kept.alias("truncated_tokens"), cut.alias("docs_cut"))
 
 
 def quantile(h: DataFrame, p: float) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Nothing is copied into the repository and nothing is trained. ``encoder`` builds the byte-pair engine from the
 vocabulary of a tokenizers JSON file: for byte-level BPE the rank of a merge is the id of its result, so both
-libraries give the same ids (the tests hold them against each other).
+libraries give the same ids (the tests hold them against each other). Like that library by default, a JSON vocabulary's
+added tokens that stand in a text are one id each; a rank file has none.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ def json_ranks(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
 
 
+@functools.lru_cache(4)
+def added_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", [])}
+
+
 @functools.lru_cache(4)
 def rank_file(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -41,8 +48,9 @@ def rank_file(path: str) -> dict[bytes, int]:
 def encoder(path: str, pattern: str):
     import tiktoken
 
-    ranks = rank_file(path) if path.endswith(".tiktoken") else json_ranks(path)
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    if path.endswith(".tiktoken"):
+        return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=rank_file(path), special_tokens={})
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=json_ranks(path), special_tokens=added_tokens(path))
 
 
 #: Texts longer than this are encoded part by part, cut where the pattern always cuts.
@@ -50,7 +58,10 @@ PART_CHARS = 1 << 16
 
 
 def parts(text: str):
-    """Cuts a long text before single spaces between two letters or digits, where a match always begins."""
+    """Cuts a long text before single spaces between two letters or digits, where a match always begins.
+
+    No added token of the vocabularies holds a space, so none is cut.
+    """
     at = 0
     while len(text) - at > PART_CHARS:
         cut = text.find(" ", at + PART_CHARS)
@@ -66,5 +77,5 @@ def parts(text: str):
 def encode(text: str, path: str, pattern: str) -> np.ndarray:
     e = encoder(path, pattern)
     if len(text) <= PART_CHARS:
-        return e.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([e.encode_to_numpy(x, disallowed_special=()) for x in parts(text)])
+        return e.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    return np.concatenate([e.encode_to_numpy(x, allowed_special="all", disallowed_special=()) for x in parts(text)])
