@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vocalith.plans import manifests, measures, sequences, streams, upkeep  # noqa: F401
+from vocalith.plans import gates, manifests, measures, sequences, streams, upkeep  # noqa: F401
 from vocalith.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

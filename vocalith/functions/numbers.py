@@ -7,17 +7,26 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vocalith.functions.binding import bound
+
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Word edit distance: each distinct word of the pair becomes one code point, then levenshtein."""
+    """Word edit distance: each distinct word of the pair becomes one code point, then levenshtein.
+
+    Code points run from U+4E00 past the surrogates to the last one, for over a million distinct words. Looking a word up
+    and the distance itself take time in proportion to the product of the lengths.
+    """
 
-    def coded(ws: Column, known: Column) -> Column:
-        point = lambda w: F.array_position(known, w) + F.lit(0x4E00 - 1)
-        letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(ws, letter), "")
+    def letter(i: Column) -> Column:
+        point = i + F.when(i < 0xD800 - 0x4E00, F.lit(0x4E00)).otherwise(F.lit(0x4E00 + 0x800))
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    def coded(ws: Column, letters: Column) -> Column:
+        return F.array_join(F.transform(ws, lambda w: F.element_at(letters, w)), "")
 
     known = F.array_union(reference, hypothesis)
-    return F.element_at(F.transform(F.array(known), lambda k: F.levenshtein(coded(reference, k), coded(hypothesis, k))), 1)
+    letters = F.map_from_arrays(known, F.transform(known, lambda w, i: letter(i)))
+    return F.element_at(F.transform(F.array(letters), lambda k: F.levenshtein(coded(reference, k), coded(hypothesis, k))), 1)
 
 
 def char_edits(reference: Column, hypothesis: Column) -> Column:
@@ -99,8 +108,11 @@ def quantile_index(n: Column, rule: str, percent: int) -> Column:
 
 def quantile(values: Column, rule: str, percent: int = 50) -> Column:
     """A quantile of an array by one of the index rules, or its interpolating median."""
-    ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    n = F.size(ordered)
-    if rule == "median":
-        return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
-    return F.get(ordered, quantile_index(n, rule, percent))
+
+    def of(ordered: Column) -> Column:
+        n = F.size(ordered)
+        if rule == "median":
+            return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+        return F.get(ordered, quantile_index(n, rule, percent))
+
+    return bound(F.sort_array(F.filter(values, lambda v: v.isNotNull())), of)

@@ -37,6 +37,14 @@ def segment_reason(words: str, start: str, end: str, text_ok: Column, least: flo
     )
 
 
+def usable(df: DataFrame, key: Column, score: Column, least: float, present: list[Column]) -> DataFrame:
+    """Rows with a key that is not empty, a score of at least ``least`` and no null among ``present``."""
+    ok = F.coalesce(F.length(key.cast("string")) > 0, F.lit(False)) & F.coalesce(score >= least, F.lit(False))
+    for c in present:
+        ok = ok & c.isNotNull()
+    return df.where(ok)
+
+
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """The rows of ``df``; reading one that breaks the condition fails with the message."""
     return df.where(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))

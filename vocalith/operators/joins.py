@@ -71,6 +71,10 @@ def pair_prompts(df: DataFrame, key: str, speaker: str, recording: str, duration
     return found.select(key, "tier", "prompt_" + key)
 
 
+#: Characters of short candidate texts that one scan of the corpus looks for.
+SHORT_CHARS = 1 << 16
+
+
 def _inner_pairs(text: Column) -> Column:
     """Neighbouring pieces of a text split at spaces, without the first and last piece, which may be parts of words."""
     return F.element_at(F.transform(F.array(F.split(text, " ")), lambda p: F.when(F.size(p) >= 4, F.transform(F.sequence(F.lit(1), F.size(p) - 3), lambda i: F.concat_ws(" ", F.get(p, i), F.get(p, i + 1))))), 1)
@@ -81,7 +85,8 @@ def not_contained(candidates: DataFrame, corpus: DataFrame, text: str, key: str,
 
     Where a candidate occurs, its inner pieces are whole pieces of the corpus text. So its longest pair of inner pieces
     meets the pairs of the corpus texts in an equi-join, and only those pairs of texts are tested. Candidates of
-    fewer than four pieces have no such pair and are tested against every text. Null texts are contained in nothing.
+    fewer than four pieces have no such pair: they go, ``SHORT_CHARS`` of them at a time, to every task as literals of a
+    scan of the corpus, which stays where it is. Null texts are contained in nothing.
     """
     c = candidates.select(F.col(key).alias("_id"), F.col(text).alias("_c")).where("_c is not null")
     t = corpus.select(F.col(corpus_key).alias("_k"), F.col(text).alias("_t")).where("_t is not null")
@@ -92,11 +97,25 @@ def not_contained(candidates: DataFrame, corpus: DataFrame, text: str, key: str,
     places = t.select("_k", F.explode(F.array_distinct(pairs)).alias("_g"))
     meet = long.select("_id", "_g").join(places, "_g").select("_id", "_k")
     found = meet.join(long.select("_id", "_c"), "_id").join(t, "_k").where(F.contains(F.col("_t"), F.col("_c"))).select("_id")
-    short = c.where(longest.isNull())
-    found = found.union(short.join(t, F.contains(F.col("_t"), F.col("_c")), "left_semi").select("_id"))
+    found, lot, size = found.distinct(), [], 0
+    for text_ in [*(r["_c"] for r in c.where(longest.isNull()).select("_c").distinct().toLocalIterator()), None]:
+        if lot and (text_ is None or size + len(text_) > SHORT_CHARS):
+            hits = t.select(F.explode(F.filter(F.array(*map(F.lit, lot)), lambda x: F.contains(F.col("_t"), x))).alias("_c")).distinct()
+            found, lot, size = found.union(c.join(hits, "_c").select("_id")), [], 0
+        if text_ is not None:
+            lot, size = [*lot, text_], size + len(text_) + 64
     return candidates.join(found.distinct().withColumnRenamed("_id", key), key, "left_anti")
 
 
+def match_on(left: DataFrame, right: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Inner join on several keys, say a path and a rounded start, with the last right row of each key.
+
+    Rows of either side without a partner drop out; ``columns`` of the right side come under the name other_*.
+    """
+    build = last_wins(right.select(*keys, *[F.col(c).alias(f"other_{c}") for c in columns], F.col(order).alias("_o")), keys, "_o")
+    return left.join(build.drop("_o"), keys)
+
+
 def attach_if(left: DataFrame, right: DataFrame, keys: list[str], column: str, fits: Column) -> DataFrame:
     """All rows of ``left`` with ``column`` of ``right`` by composite key, null where the pair does not fit."""
     joined = left.join(right.select(*keys, column), keys, "left")

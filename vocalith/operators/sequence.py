@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalith.functions.binding import bound
+from vocalith.functions.hashing import bucket
 
 
 def gap_groups(df: DataFrame, key: str, order: list[str], start: str, end: str, gap: float) -> DataFrame:
@@ -50,6 +51,13 @@ def bounded_groups(df: DataFrame, key: str, start: str, unique: str, end: str, g
     return out.select(key, "group_no", F.col("g.s").alias("first_start"), F.col("g.e").alias("last_end"), F.col("g.n").alias("n"))
 
 
+def drawn_target(key: Column, group: Column, target: float, jitter: float, least: float, most: float, seed: int = 0) -> Column:
+    """A group's target length: uniform in [target (1 - jitter), target (1 + jitter)] within [least, most], by hash of seed, key and group."""
+    lo, hi = max(least, target * (1 - jitter)), min(most, target * (1 + jitter))
+    u = bucket(F.concat_ws("-", F.lit(str(seed)), key.cast("string"), group.cast("string")))
+    return F.lit(float(lo)) + u * F.lit(float(hi - lo))
+
+
 def tiles(df: DataFrame, key: str, start: str, end: str, label: str, unique: str, until: Column) -> DataFrame:
     """Intervals made to tile [0, until] per key: clipped to the end of those before, gaps filled with empty labels.
 
@@ -112,9 +120,13 @@ def cut_point(words: Column, duration: Column, pick: Column, least: float = 1.0,
 
 def boundary_differences(a: Column, b: Column) -> Column:
     """Absolute start and end differences word by word of two alignments with the same words; null otherwise."""
-    same = F.transform(a, lambda w: w["word"]) == F.transform(b, lambda w: w["word"])  # else reported, not measured
-    zipped = F.zip_with(a, b, lambda x, y: F.struct(F.abs(x["start"] - y["start"]).alias("start"), F.abs(x["end"] - y["end"]).alias("end"), x["word"].alias("word")))
-    return F.when(same, zipped)
+
+    def measured(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        same = F.transform(a, lambda w: w["word"]) == F.transform(b, lambda w: w["word"])  # else reported, not measured
+        return F.when(same, F.zip_with(a, b, lambda x, y: F.struct(F.abs(x["start"] - y["start"]).alias("start"), F.abs(x["end"] - y["end"]).alias("end"), x["word"].alias("word"))))
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), measured)
 
 
 def early_stop(df: DataFrame, key: str, order: str, value: str, patience: int, factor: float, armed_from: int = 0) -> DataFrame:

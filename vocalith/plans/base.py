@@ -41,7 +41,6 @@ def bucket_sql(x: str) -> str:
     return f"(CAST(CAST(('0x' || substr(sha256(CAST({x} AS VARCHAR)), 1, 16)) AS UBIGINT) AS DOUBLE) / 18446744073709551616::DOUBLE)"
 
 
-#: First words of a text only where a query is about short sentences: reference words and a corrupted hypothesis.
 def ref_words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
 

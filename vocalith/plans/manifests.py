@@ -114,10 +114,11 @@ def explode_join_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(meta, lines["l_partkey"] == meta["p_partkey"]).drop("p_partkey")
 
 
-@query("""WITH r AS (SELECT doc_id % 700 AS doc_id, quality, row_number() OVER (ORDER BY doc_id) AS i FROM labels), b AS (SELECT doc_id, arg_max(quality, i) AS quality FROM r GROUP BY 1)
+@query("""WITH r AS (SELECT doc_id, quality, 0 AS i FROM labels UNION ALL SELECT doc_id, quality + 2, 1 FROM labels WHERE doc_id % 3 = 0), b AS (SELECT doc_id, arg_max(quality, i) AS quality FROM r GROUP BY 1)
 SELECT d.doc_id, d.n_chars, b.quality, b.doc_id IS NOT NULL AS matched FROM documents d LEFT JOIN b USING (doc_id)""")
 def left_attach_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    right = table(spark, sf_dir, "labels").select((F.col("doc_id") % 700).alias("doc_id"), "quality", F.col("doc_id").alias("i"))
+    old = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(0).alias("i"))
+    right = old.unionByName(old.where("doc_id % 3 = 0").select("doc_id", (F.col("quality") + 2).alias("quality"), F.lit(1).alias("i")))
     return joins.attach(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), right, ["doc_id"], "i", ["quality"])
 
 
@@ -180,9 +181,11 @@ def modulo_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("shard").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
-@query("SELECT CAST(floor(event_id / 1251::DOUBLE) AS BIGINT) AS shard, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
+@query("SELECT CAST(floor(event_id / ceil((SELECT max(event_id) + 1 FROM events) / 8::DOUBLE)) AS BIGINT) AS shard, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
 def contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").select("event_id", sampling.shard(F.col("event_id"), 8, "contiguous", 10_008).alias("shard"))
+    events = table(spark, sf_dir, "events").select("event_id")
+    n = events.agg(F.coalesce(F.max("event_id") + 1, F.lit(1))).first()[0]
+    df = events.select("event_id", sampling.shard(F.col("event_id"), 8, "contiguous", n).alias("shard"))
     return df.groupBy("shard").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 

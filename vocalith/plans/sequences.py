@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions import numbers as N
 from vocalith.functions import text as T
+from vocalith.functions.binding import bound
 from vocalith.functions.hashing import bucket
 from vocalith.operators import sequence
 from vocalith.plans.base import WORDS_SQL, bucket_sql, query, ref_words, table
@@ -93,13 +94,23 @@ s AS (SELECT doc_id, n_words, (xs[(n_words - 1) // 2 + 1] + xs[n_words // 2 + 1]
 
 
 def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+    def of(ws: Column) -> Column:
+        return bound(F.transform(sequence.boundary_differences(timed(ws), timed(ws, 5)), lambda x: x["end"]), summary)
+
+    def summary(e: Column) -> Column:
+        return bound(F.sort_array(e), lambda s: measures(e, s))
+
+    def measures(e: Column, s: Column) -> Column:
+        n = F.size(s)
+        middle = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+        worst = F.array_position(e, F.element_at(s, -1)) - 1
+        return F.struct(n.cast("long").alias("n_words"), middle.alias("median"), F.get(s, N.quantile_index(n, "clamped", 90)).alias("p90"), F.element_at(s, -1).alias("end_max"), F.element_at(e, -1).alias("last_word"), worst.alias("worst"))
+
     ws = ref_words(F.col("text"))
-    pairs = table(spark, sf_dir, "documents").where(F.size(ws) >= 3).select("doc_id", sequence.boundary_differences(timed(ws), timed(ws, 5)).alias("d"))
-    ends = F.transform("d", lambda x: x["end"])
-    pairs = pairs.select("doc_id", ends.alias("e"))
-    return pairs.select(
-        "doc_id", F.size("e").cast("long").alias("n_words"), N.quantile(F.col("e"), "median").alias("median"), N.quantile(F.col("e"), "clamped", 90).alias("p90"), F.array_max("e").alias("end_max"), F.element_at("e", -1).alias("last_word"), (F.array_position("e", F.array_max("e")) - 1).alias("worst")
-    )
+    scored = table(spark, sf_dir, "documents").select("doc_id", bound(ws, lambda w: F.when(F.size(w) >= 3, of(w))).alias("d"))
+    # written out once, so that no later filter or projection works it out again
+    return scored.select("doc_id", F.explode(F.array("d")).alias("d")).where("d is not null").select("doc_id", "d.*")
 
 
 @query(_DISAGREE + " SELECT doc_id, n_words, median, p90, end_max, last_word, worst FROM s")

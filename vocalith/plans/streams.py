@@ -13,8 +13,12 @@ from vocalith.streaming import streams
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    """Below the cluster's shared folder; a temporary folder only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vocalith-')}"
+    """Below the cluster's shared folder; a temporary folder only in local mode with none set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='vocalith-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

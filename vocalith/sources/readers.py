@@ -28,9 +28,17 @@ def jsonl_with_drops(spark: SparkSession, path: str, schema: str) -> tuple[DataF
 
 
 def raw_lines(spark: SparkSession, path: str, rank: int = 0, world: int = 1) -> DataFrame:
-    """line_no (in file order, within a file), value: unparsed lines of this shard; empty shards fail on use."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return files.where("trim(value) <> ''").where(F.pmod("line_no", F.lit(world)) == rank)
+    """value: unparsed lines of this shard, one of ``world``; a shard without lines is refused.
+
+    Lines are dealt by their place: the number of the split and of the line in it, which do not change while the files
+    do not. Files are split as ever, so a large one is read by many tasks.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.monotonically_increasing_id().alias("line_no"))
+    split, line = F.shiftright("line_no", 33), F.col("line_no").bitwiseAND(F.lit((1 << 33) - 1))
+    shard = lines.where(F.pmod(split + line, F.lit(world)) == rank)
+    if shard.isEmpty():
+        raise ValueError(f"shard {rank} of {world} has no lines")
+    return shard.select("value")
 
 
 def texts(spark: SparkSession, path: str, field: str = "transcript") -> DataFrame:
@@ -97,11 +105,56 @@ def media_windows(rows: DataFrame, files: DataFrame, decode: Callable[[bytes, fl
 
 
 def load_settings(text: str, allowed: dict[str, type], overrides: dict[str, object] | None = None) -> dict[str, object]:
-    """Settings from JSON text, with dotted overrides; unknown keys are refused, "1e-5" becomes a float."""
-    found = json.loads(text) | (overrides or {})
+    """Settings under dotted names from nested JSON text and overrides; unknown names are refused, "1e-5" becomes a float.
+
+    Types are strict: a number is no string, a fraction no integer, and only true and false are booleans.
+    """
+
+    def flat(x: dict, before: str = "") -> Iterator[tuple[str, object]]:
+        for k, v in x.items():
+            if isinstance(v, dict):
+                yield from flat(v, f"{before}{k}.")
+            else:
+                yield before + k, v
+
+    found = dict(flat(json.loads(text))) | (overrides or {})
     if unknown := set(found) - set(allowed):
         raise ValueError(f"unknown settings: {sorted(unknown)}")
-    return {k: allowed[k](v) for k, v in found.items()}
+    out = {}
+    for k, v in found.items():
+        kind = allowed[k]
+        if kind is float and isinstance(v, (int, str)) and not isinstance(v, bool):
+            v = float(v)
+        if type(v) is not kind:
+            raise ValueError(f"{k}: {v!r} is no {kind.__name__}")
+        out[k] = v
+    return out
+
+
+def complete_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, next_offset, lines: what a log holds up to its last line end; a partial last line stays unread."""
+    content = F.col("content").cast("string")
+    done = F.regexp_extract(content, r"(?s)^(.*\n)", 1)
+    files = spark.read.format("binaryFile").load(path)
+    lines = F.filter(F.split(done, "\n"), lambda x: F.trim(x) != "")
+    return files.select(F.col("path").alias("file"), F.octet_length(done).cast("long").alias("next_offset"), lines.alias("lines"))
+
+
+def new_lines(spark: SparkSession, path: str, offsets: DataFrame | None = None) -> DataFrame:
+    """file, value, next_offset: complete lines beyond each file's byte offset (file, next_offset of the last call).
+
+    A file shorter than its offset was begun anew and is read from its start. Logs are small files; one is one row.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    if offsets is not None:
+        files = files.join(offsets.groupBy("file").agg(F.max("next_offset").alias("_at")), "file", "left")
+    else:
+        files = files.withColumn("_at", F.lit(0).cast("long"))
+    at = F.when(F.coalesce("_at", F.lit(0)) > F.octet_length("content"), F.lit(0)).otherwise(F.coalesce("_at", F.lit(0)))
+    fresh = F.expr("substring(content, cast(_from as int) + 1)").cast("string")
+    rows = files.withColumn("_from", at).withColumn("_done", F.regexp_extract(fresh, r"(?s)^(.*\n)", 1))
+    rows = rows.select("file", (F.col("_from") + F.octet_length("_done")).alias("next_offset"), F.explode(F.split("_done", "\n")).alias("value"))
+    return rows.where("trim(value) <> ''").select("file", "value", "next_offset")
 
 
 class ArrowIpc(DataSource):

@@ -42,9 +42,17 @@ def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], order: str) -
     return last_wins(stored.unionByName(changes, allowMissingColumns=True), keys, order)
 
 
+def _report_rows(df: DataFrame, most: int) -> list:
+    """All rows of a report; one with more than ``most`` is refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; aggregate it first")
+    return rows
+
+
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """At most ``most`` rows (a report) as a table."""
-    rows = df.limit(most).collect()
+    """All rows, at most ``most`` (a report), as a table."""
+    rows = _report_rows(df, most)
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
 
@@ -63,10 +71,11 @@ def line_chart(points: list[tuple[float, float]], width: int = 640, height: int
 
 
 def dashboard(evals: DataFrame, step: str = "step", value: str = "wer", most: int = 2000) -> str:
-    """An HTML page: the chart of the latest value per step, and its table, over at most ``most`` steps."""
+    """An HTML page: the chart of the latest value per step, and its table, over all steps, at most ``most``."""
     import html
 
-    rows = last_wins(evals.where(f"{value} is not null"), [step], "row_idx").orderBy(step).limit(most).collect()
+    rows = last_wins(evals.where(f"{value} is not null"), [step], "row_idx").orderBy(step)
+    rows = _report_rows(rows, most)
     cells = "".join(f"<tr><td>{html.escape(str(r[step]))}</td><td>{r[value]:.4f}</td></tr>" for r in rows)
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(value)}</title>{line_chart([(r[step], r[value]) for r in rows])}<table>{cells}</table>"
 

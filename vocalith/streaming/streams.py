@@ -87,7 +87,17 @@ def poll_and_score(stream: DataFrame, key: str, done: Callable[[], DataFrame], s
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drives a stream over what is there into a table in memory and returns it (for tests and small results)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drives a stream over what is there into a Parquet table beside its checkpoint and returns it.
+
+    Nothing passes through the driver. In append mode the file sink commits each batch once; in the others the last
+    batch, which holds the whole result, replaces the one before.
+    """
+    spark, path = stream.sparkSession, f"{checkpoint}-{name}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", path).start()
+    else:
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)
+        q = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
