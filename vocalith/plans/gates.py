@@ -37,15 +37,15 @@ def merged_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.reason_counts(groups.withColumn("reason", F.coalesce(filters.first_reason(checks), F.lit("kept"))))
 
 
-@query("""WITH a AS (SELECT l_orderkey, round(l_extendedprice / 1000, 3) AS start, max(l_quantity) AS qa FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
-b AS (SELECT l_orderkey, round((l_extendedprice + 0.0001) / 1000, 3) AS start, arg_max(l_tax, (l_linenumber, l_partkey, l_suppkey, l_tax)) AS tax FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1, 2)
+@query("""WITH a AS (SELECT l_orderkey, round((l_extendedprice + 0.001) / 1000, 3) AS start, max(l_quantity) AS qa FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
+b AS (SELECT l_orderkey, round((l_extendedprice + 0.0012) / 1000, 3) AS start, arg_max(l_tax, (l_linenumber, l_partkey, l_suppkey, l_tax)) AS tax FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1, 2)
 SELECT l_orderkey, start, qa, tax FROM a JOIN b USING (l_orderkey, start)""")
 def aligned_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two manifests of partly the same clips, met by path and start to three decimals; the later of equal keys counts."""
     lines = table(spark, sf_dir, "lineitem")
-    a = lines.where("l_linenumber <= 4").select("l_orderkey", (F.col("l_extendedprice") / 1000).alias("at"), "l_quantity")
+    a = lines.where("l_linenumber <= 4").select("l_orderkey", ((F.col("l_extendedprice") + 0.001) / 1000).alias("at"), "l_quantity")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_tax")
-    b = lines.where("l_linenumber >= 2").select("l_orderkey", ((F.col("l_extendedprice") + 0.0001) / 1000).alias("at"), F.col("l_tax").alias("tax"), order.alias("o"))
+    b = lines.where("l_linenumber >= 2").select("l_orderkey", ((F.col("l_extendedprice") + 0.0012) / 1000).alias("at"), F.col("l_tax").alias("tax"), order.alias("o"))
     a = a.withColumn("start", F.round("at", 3)).groupBy("l_orderkey", "start").agg(F.max("l_quantity").alias("qa"))
     met = joins.match_on(a, b.withColumn("start", F.round("at", 3)), ["l_orderkey", "start"], "o", ["tax"])
     return met.select("l_orderkey", "start", "qa", F.col("other_tax").alias("tax"))
