@@ -144,6 +144,25 @@ def brute_cut(scores, edges):
     return best
 
 
+def test_formulas_are_text():
+    page = "<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E eq m</annotation></math> holds, as all know.</p></article>"
+    assert html_text.main_text(page) == "Energy E=m holds, as all know."
+
+
+def test_unclosed_quotes_take_linear_time():
+    import time
+
+    def took(page):
+        start = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - start
+
+    for piece in ('<p class="', "<a '>' ", "<! ", "</p x=\"", "<script x ", "<!-- "):
+        for page in (piece * 40_000, piece * 40_000 + ">", piece * 40_001 + ">"):
+            assert took(page) < 5, piece
+    assert html_text.main_text('<article><p>One is here, and it stays.</p><p class="x>Two</p><p>Three is here, and it stays.</p></article>').startswith("One is here, and it stays.\n")
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_min_cut_is_minimal(seed):
     rng = random.Random(seed)

@@ -6,10 +6,11 @@ shape gives the cost of either label; the costs become capacities from the sourc
 The maximum flow's cut separates content from boilerplate with the least total cost.
 
 White space inside a block becomes one space; blocks are trimmed and joined by one newline. ``br`` counts as white
-space. Scripts, styles, comments of the markup and the like never become blocks.
+space. Scripts, styles, comments of the markup and the like never become blocks; formulas in ``math`` are text of the
+block around them, without their annotations.
 
 Nulls and edge cases: null or empty html, or none that is content, gives the empty text and 0; unclosed and stray tags
-are put up with; very long pages are taken whole; repeated rows give repeated rows; other columns are ignored.
+are put up with; after a tag whose quotes never close, tags end at the next ``>``; a tag without one is text; very long pages are taken whole; repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style noscript template svg math textarea select button iframe object canvas audio video title head datalist".split())
+SILENT_TAGS = frozenset("script style noscript template svg annotation annotation-xml textarea select button iframe object canvas audio video title head datalist".split())
 RAW_TAGS = frozenset("script style textarea title".split())
 SECTIONS = frozenset("article aside body div fieldset footer form header main menu nav section table ul ol dl td dialog".split())
 UNWANTED_TAGS = frozenset("nav aside footer form menu dialog search fieldset".split())
@@ -42,7 +43,8 @@ UNWANTED = re.compile(
 )
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\baria-hidden\s*=\s*["']?true|display\s*:\s*none|(?:^|\s)hidden(?=[\s=/]|$)(?=(?:[^"']|"[^"]*"|'[^']*')*$)""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -93,7 +95,7 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(raw.strip())
 
-    n = len(page)
+    n, last, quotes = len(page), page.rfind(">"), True
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -101,10 +103,23 @@ def blocks_of(page: str) -> list[Block]:
             break
         add(page[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if tag is None:
+        if m[0] == "<!--":
+            at = page.find("-->", at) + 3
+            if at == 2:
+                break
             continue
-        tag = tag.lower()
+        if at > last:
+            add(m[0])
+            continue
+        if m[2] is None:
+            at = page.find(">", at) + 1
+            continue
+        tag = m[2].lower()
+        # the one scan that finds no end ends the regard for quotes, so that every page is read in linear time
+        rest = _REST.match(page, at) if quotes else None
+        quotes = rest is not None
+        end = rest.end() if quotes else page.find(">", at) + 1
+        given, at = page[at : end - 1], end
         if not m[1]:
             if tag == "br":
                 add(" ")
@@ -122,11 +137,11 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "a":
                 links += 1
             if tag in RAW_TAGS:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last + 1)
                 at = end.end() if end else n
                 continue
             if tag in BLOCK_TAGS or tag in SILENT_TAGS:
-                named = _CAMEL.sub("-", " ".join(filter(None, (x for g in _NAMES.findall(m[3]) for x in g)))) if m[3] else ""
+                named = _CAMEL.sub("-", " ".join(filter(None, (x for g in _NAMES.findall(given) for x in g)))) if given else ""
                 if tag in SECTIONS:
                     sections += 1
                 root = tag in ("body", "html")
@@ -138,7 +153,7 @@ def blocks_of(page: str) -> list[Block]:
                     top[4] or tag in UNWANTED_TAGS,
                     top[5] or bool(named and not root and UNWANTED.search(named)),
                     top[6] or tag == "header",
-                    top[7] or tag in SILENT_TAGS or bool(m[3] and (_HIDDEN.search(m[3]) or " hidden " in f" {named} ")),
+                    top[7] or tag in SILENT_TAGS or bool(given and (_HIDDEN.search(given) or " hidden " in f" {named} ")),
                 )
                 stack.append(top)
         else:
