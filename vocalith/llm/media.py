@@ -148,12 +148,24 @@ def tensors(mels: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def frames_of(stream: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(frames x MELS, padding included; (start_ms, end_ms) of every tensor) of such a stream."""
+    table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    column = table["log_mel"].chunk(0)
+    return column.to_numpy_ndarray().reshape(-1, MELS), list(zip(table["start_ms"].to_pylist(), table["end_ms"].to_pylist()))
+
+
 def feature_text(mels: np.ndarray, energy: np.ndarray, found: list[tuple[int, int]]) -> str:
-    """The features in short: sizes, mean log-mel per band, energy, segments, and a digest of the rounded frames."""
+    """The features in short: sizes, mean log-mel per band, energy, segments, and a digest of the rounded frames.
+
+    The frames are those read back from the stored tensors.
+    """
+    kept, spans_ms = frames_of(tensors(mels))
+    mels = kept[: len(mels)]
     bands = ",".join(f"{round(float(v) * 10)}" for v in mels.mean(axis=0))
     spans = hashlib.md5(repr(found).encode()).hexdigest()[:12]
     frames = zlib.crc32(np.round(mels * 4).astype("<i2").tobytes())
-    return f"frames={len(mels)};mels={MELS};bands={bands};db={round(float(energy.mean()), 1)};segments={len(found)}:{spans};frames_crc32={frames}"
+    return f"frames={len(mels)};mels={MELS};bands={bands};db={round(float(energy.mean()), 1)};segments={len(found)}:{spans};frames_crc32={frames};tensors={len(spans_ms)};end_ms={spans_ms[-1][1]}"
 
 
 _OUT = pa.schema(
