@@ -79,14 +79,15 @@ def test_media_query(spark, sf_dir):
 
 
 def test_feature_is_read_from_the_tensors(monkeypatch):
-    wav = media.to_wav(bytes(range(256)) * 60)
-    mels, energy, found = media.features(wav)
-    kept, spans = media.frames_of(media.tensors(mels))
-    assert np.array_equal(kept[: len(mels)], mels) and (kept[len(mels) :] == -6).all()
-    text = media.feature_text(mels, energy, found)
-    assert text.endswith(f";tensors={len(spans)};end_ms={spans[-1][1]}") and len(spans) == -(-len(mels) // media.TENSOR_FRAMES)
-    monkeypatch.setattr(media, "tensors", lambda m, of=media.tensors: of(m + 1))
-    assert media.feature_text(mels, energy, found) != text
+    wavs = [media.to_wav(bytes(range(256)) * n) for n in (60, 1, 200, 1)]
+    made = [media.features(w)[0] for w in wavs]
+    texts = media.feature_texts(wavs)
+    for mels, (kept, spans), text in zip(made, media.frames_of(media.tensors(made)), texts, strict=True):
+        assert np.array_equal(kept[: len(mels)], mels) and (kept[len(mels) :] == -6).all()
+        assert text.endswith(f";tensors={len(spans)};end_ms={spans[-1][1]}") and len(spans) == -(-len(mels) // media.TENSOR_FRAMES)
+    assert texts == [media.feature_texts([w])[0] for w in wavs] and texts[1] == texts[3]
+    monkeypatch.setattr(media, "tensors", lambda many, of=media.tensors: of([m + 1 for m in many]))
+    assert media.feature_texts(wavs) != texts
 
 
 def test_media_edges_and_tensors(spark, edge_docs, no_docs):
@@ -98,7 +99,7 @@ def test_media_edges_and_tensors(spark, edge_docs, no_docs):
         table = pa.ipc.open_stream(r["log_mel"]).read_all()
         assert table["log_mel"].type == pa.fixed_shape_tensor(pa.float32(), [media.TENSOR_FRAMES, media.MELS])
         assert table["end_ms"].to_pylist()[:-1] == table["start_ms"].to_pylist()[1:]
-        frames, spans = media.frames_of(r["log_mel"])
+        [(frames, spans)] = media.frames_of(r["log_mel"])
         assert len(frames) == len(spans) * media.TENSOR_FRAMES
 
 

@@ -32,6 +32,8 @@ FRAME, HOP, FFT, MELS = 200, 80, 256, 40
 TENSOR_FRAMES = 64
 #: Frames computed at a time.
 BLOCK_FRAMES = 4096
+#: Frames after which a stream of tensors of several texts is closed.
+STREAM_FRAMES = 1 << 15
 #: Hysteresis thresholds as shares of the way from the quietest to the loudest frame.
 HIGH, LOW = 0.6, 0.4
 PAD = 64
@@ -133,35 +135,41 @@ def features(wav: bytes):
     return mels, energy, segments(energy)
 
 
-def tensors(mels: np.ndarray) -> bytes:
-    """An Arrow IPC stream of fixed-shape tensors with start_ms, end_ms."""
-    n = -(-len(mels) // TENSOR_FRAMES)
+def tensors(many: list[np.ndarray]) -> bytes:
+    """An Arrow IPC stream of fixed-shape tensors with item (place in ``many``), start_ms, end_ms."""
+    counts = [-(-len(m) // TENSOR_FRAMES) for m in many]
+    n, at = sum(counts), 0
     padded = np.full((n * TENSOR_FRAMES, MELS), -6, np.float32)
-    padded[: len(mels)] = mels
+    for m, c in zip(many, counts):
+        padded[at : at + len(m)] = m
+        at += c * TENSOR_FRAMES
     column = pa.FixedShapeTensorArray.from_numpy_ndarray(padded.reshape(n, TENSOR_FRAMES, MELS))
     step = TENSOR_FRAMES * HOP * 1000 * DOWN // RATE
-    start = np.arange(n, dtype=np.int64) * step
-    table = pa.table({"start_ms": start, "end_ms": start + step, "log_mel": column})
+    start = np.concatenate([np.arange(c, dtype=np.int64) for c in counts]) * step
+    table = pa.table({"item": np.repeat(np.arange(len(many)), counts), "start_ms": start, "end_ms": start + step, "log_mel": column})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def frames_of(stream: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(frames x MELS, padding included; (start_ms, end_ms) of every tensor) of such a stream."""
+def frames_of(stream: bytes) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """(frames x MELS, padding included; (start_ms, end_ms) of every tensor) of each item of such a stream."""
     table = pa.ipc.open_stream(stream).read_all().combine_chunks()
-    column = table["log_mel"].chunk(0)
-    return column.to_numpy_ndarray().reshape(-1, MELS), list(zip(table["start_ms"].to_pylist(), table["end_ms"].to_pylist()))
+    kept = table["log_mel"].chunk(0).to_numpy_ndarray()
+    spans = list(zip(table["start_ms"].to_pylist(), table["end_ms"].to_pylist()))
+    firsts = np.flatnonzero(np.diff(table["item"].to_numpy(), prepend=-1)).tolist() + [len(spans)]
+    return [(kept[a:b].reshape(-1, MELS), spans[a:b]) for a, b in zip(firsts, firsts[1:])]
 
 
-def feature_text(mels: np.ndarray, energy: np.ndarray, found: list[tuple[int, int]]) -> str:
-    """The features in short: sizes, mean log-mel per band, energy, segments, and a digest of the rounded frames.
+def feature_texts(wavs: list[bytes]) -> list[str]:
+    """The features in short of stored files, whose frames are read back from one stream of tensors."""
+    made = [features(w) for w in wavs]
+    return [feature_text(kept[: len(m)], e, found, spans) for (m, e, found), (kept, spans) in zip(made, frames_of(tensors([m for m, _, _ in made])))] if made else []
 
-    The frames are those read back from the stored tensors.
-    """
-    kept, spans_ms = frames_of(tensors(mels))
-    mels = kept[: len(mels)]
+
+def feature_text(mels: np.ndarray, energy: np.ndarray, found: list[tuple[int, int]], spans_ms: list[tuple[int, int]]) -> str:
+    """The features in short: sizes, mean log-mel per band, energy, segments, and a digest of the rounded frames."""
     bands = ",".join(f"{round(float(v) * 10)}" for v in mels.mean(axis=0))
     spans = hashlib.md5(repr(found).encode()).hexdigest()[:12]
     frames = zlib.crc32(np.round(mels * 4).astype("<i2").tobytes())
@@ -198,7 +206,7 @@ def media_features(media: DataFrame) -> DataFrame:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 got = [features(x.as_py()) for x in part.column(1)]
-                yield batch(schema, doc_id=part.column(0), log_mel=[tensors(m) for m, _, _ in got], segments=[[{"start_ms": s * ms, "end_ms": e * ms} for s, e in f] for _, _, f in got])
+                yield batch(schema, doc_id=part.column(0), log_mel=[tensors([m]) for m, _, _ in got], segments=[[{"start_ms": s * ms, "end_ms": e * ms} for s, e in f] for _, _, f in got])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id bigint, log_mel binary, segments array<struct<start_ms: bigint, end_ms: bigint>>")
 
@@ -208,11 +216,18 @@ def digests(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, texts, held, size = [], [], [], 0
             for x in b.column(2):
                 wav = x.as_py()
                 payload = from_wav(wav)[1]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), feature_text(*features(wav))))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wav), hashlib.sha256(wav).hexdigest()))
+                held.append(wav)
+                size += max(TENSOR_FRAMES, len(payload) // (DOWN * HOP))
+                if size >= STREAM_FRAMES:
+                    texts += feature_texts(held)
+                    held, size = [], 0
+            texts += feature_texts(held)
+            rows = [(*r, t) for r, t in zip(rows, texts)]
             names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
             yield batch(_OUT, doc_id=b.column(0), n_bytes=b.column(1), **{c: [r[i] for r in rows] for i, c in enumerate(names)})
 
