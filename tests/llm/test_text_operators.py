@@ -198,6 +198,12 @@ def test_tree_joins(bpe_ranks, reference_encoding, leaf):
         assert tree.decode(tree.encode(data)) == data
 
 
+def test_decoding_tree_joins_in_order():
+    for n in (0, 1, bpe.JOINED, bpe.JOINED + 1, 5 * bpe.JOINED + 3):
+        pieces = [str(i).encode() * (i % 3) for i in range(n)]
+        assert bpe.concatenated(pieces) == b"".join(pieces)
+
+
 def test_bpe_round_trip(spark, sf_dir, reference_encoding, edge_docs, no_docs, bpe_ranks):
     for df, got in ((spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.op4_bpe_round_trip(spark, sf_dir)), (edge_docs, bpe.round_trip(edge_docs, *bpe_ranks))):
         want = Counter()

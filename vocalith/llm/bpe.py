@@ -27,6 +27,8 @@ from .tokens import parts, rank_file
 LEAF = 8
 #: Entries of each worker's memory of pieces, halves and pairs; when full it starts anew.
 MEMORY = 300_000
+#: Tokens whose bytes a leaf of the decoding tree joins at once.
+JOINED = 1 << 12
 #: Longer pieces are not remembered.
 REMEMBERED_BYTES = 48
 
@@ -83,6 +85,15 @@ def _merge_many(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return out
 
 
+def concatenated(pieces: list[bytes], first: int = 0, last: int | None = None) -> bytes:
+    """The bytes of pieces, halves joined up the tree from leaves of ``JOINED`` pieces."""
+    last = len(pieces) if last is None else last
+    if last - first <= JOINED:
+        return b"".join(pieces[first:last])
+    half = (first + last) // 2
+    return concatenated(pieces, first, half) + concatenated(pieces, half, last)
+
+
 class Bpe:
     """Encoder and decoder over one table of ranks."""
 
@@ -128,10 +139,7 @@ class Bpe:
         return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 1 << 12:
-            return b"".join(map(self.bytes.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        return concatenated(list(map(self.bytes.__getitem__, ids)))
 
 
 class Written(dict):
@@ -179,7 +187,7 @@ def digests(text: str, path: str, pattern: str) -> tuple[int, str, str]:
         n += len(tokens)
         ids.update(line[gap:].encode())
         gap = 0 if n else 1
-        decoded.update(b"".join(map(back.__getitem__, tokens)))
+        decoded.update(concatenated(list(map(back.__getitem__, tokens))))
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
