@@ -165,6 +165,13 @@ def test_fingerprints(spark, sf_dir, edge_docs, no_docs, monkeypatch):
     docs = sorted(((r["doc_id"], r["text"] or "") for r in edge_docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     monkeypatch.setattr(simhash, "GROUP_ROWS", 2)
     check_fingerprints(spark, simhash.edited_pairs(edge_docs).orderBy("doc_id", "n_chars").collect(), docs)
+    found = simhash.searched(edge_docs.unionAll(edge_docs.selectExpr("50", "text", "lang", "source", "n_chars", "h", "part").where("doc_id = 2"))).collect()
+    assert len(found) == len(docs) + 2 and {r["near_documents"] for r in found if r["doc_id"] == 50} == {4}
+    assert {r["near_documents"] for r in found if r["doc_id"] != 50} == {None}
+    assert simhash.searched(no_docs).count() == 0
+    prints = [(r["doc_id"], int(r["fingerprint"], 16), r["near_fingerprints"], r["near_documents"]) for r in queries.op2_document_fingerprints(spark, sf_dir).collect()]
+    want = plain_neighbours([p for _, p, _, _ in prints], {p for i, p, _, _ in prints if i % 50 == 0})
+    assert all((a, b) == (want[p] if i % 50 == 0 else (None, None)) for i, p, a, b in prints)
     one = edge_docs.where("doc_id = 1")
     assert simhash.edited_pairs(one).first()["near_next"] == 1.0
     assert simhash.edited_pairs(no_docs).count() == 0
@@ -181,6 +188,34 @@ def test_block_tables_find_all(spark):
     assert got == want
 
 
+def plain_neighbours(prints, queries, radius=3):
+    """(other fingerprints, other rows) near each query by comparing it with every row."""
+    out = {}
+    for q in queries:
+        near = [p for p in prints if (p ^ q).bit_count() <= radius]
+        out[q] = (len(set(near)) - 1, len(near) - 1)
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_neighbours_of_queries(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    family = [base[0] ^ (1 << k) for k in range(30)]  # a close family, and copies of one fingerprint
+    fps = base + family + [base[1]] * 40 + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(6))) for b in base for _ in range(4)]
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    from pyspark.sql import functions as F
+
+    prints = spark.createDataFrame([*enumerate(signed), (None, signed[0])], "doc_id bigint, fp bigint")
+    got = simhash.with_neighbours(prints, F.pmod("doc_id", F.lit(3)) == 0).collect()
+    want = plain_neighbours([*fps, fps[0]], {f for i, f in enumerate(fps) if i % 3 == 0})
+    assert len(got) == len(fps) + 1
+    for r in got:
+        asked = r["doc_id"] is not None and r["doc_id"] % 3 == 0
+        assert (r["near_fingerprints"], r["near_documents"]) == (want[r["fp"] % 2**64] if asked else (None, None))
+
+
 # 4: BPE
 
 

@@ -19,7 +19,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_pairs(read(spark, sf_dir, "documents"))
+    return simhash.searched(read(spark, sf_dir, "documents"))
 
 
 #: (verdict, host, path) of the rules that every url is held against.

@@ -5,10 +5,11 @@ each of 64 bits with its xxhash64, so a term weighs as often as it occurs. Votes
 127 terms at a time, then added up in 64 counters. Fingerprints within a Hamming radius r are found by permuted
 block tables: the bits are cut into r + extra blocks, each table is keyed by ``extra`` of them, and two
 fingerprints within the radius must agree on all key blocks of some table. Equal fingerprints are one entry there.
+``searched`` asks the tables for all fingerprints near those of a set of query rows.
 
 Nulls and edge cases: a null text counts as empty; a text without words has the fingerprint 0; the next document of
 the last is the first (of a single document: itself); a null doc_id sorts first; rows that repeat a doc_id sort by
-their text; other columns are ignored; an empty table gives no rows.
+their text; a row with a null doc_id is no query; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
 WORDS = 5
 CHUNK = 127
 #: Rows per group of neighbours, and the most groups; a group is sorted with spilling, so more rows only take longer.
 GROUP_ROWS, MOST_GROUPS = 512, 1 << 16
+#: Queries of one bucket that are looked up together.
+BLOCK = 64
 _LOW = 0x0101010101010101  # bit 0 of every byte
 
 
@@ -119,7 +122,8 @@ def with_next(docs: DataFrame, payload: list[str], key: str = "doc_id") -> DataF
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and fp, the fingerprint
+    as a long, of every document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("fp", fingerprint(F.col("text")))
     both = with_next(own, ["text", "fp"])
     n = F.length("text")
@@ -134,23 +138,66 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         hexed(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "fp",
     )
 
 
-def within_radius(fingerprints: DataFrame, radius: int = 3, extra: int = 3) -> DataFrame:
-    """All pairs a < b of distinct values of ``fp`` (bigint) at a Hamming distance of at most ``radius``, with it.
+def searched(docs: DataFrame, every: int = 50, radius: int = 3) -> DataFrame:
+    """``edited_pairs`` and, for the rows whose doc_id is divisible by ``every``, what the block tables find for them
+    among all documents (``with_neighbours``)."""
+    prints = stored(edited_pairs(docs))
+    return with_neighbours(prints, F.pmod(F.col("doc_id"), F.lit(every)) == 0, radius).drop("fp")
+
+
+def _table_keys(extra: int, blocks: int) -> tuple[list[int], list[Column]]:
+    """Per permuted table the bits of its key blocks as a mask, and its key: the table's number and the masked bits."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), extra)]
+    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
+    return signed, [F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)]
+
+
+def within_radius(fingerprints: DataFrame, radius: int = 3, extra: int = 3, queries: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, distance) of distinct values of ``fp`` (bigint) at a Hamming distance of at most ``radius``.
+
+    With ``queries`` (a table with ``fp``) a is every value of the queries and b every other value of
+    ``fingerprints``; without, all pairs a < b of ``fingerprints``, which in a close family are many.
 
     Permuted block tables: C(radius + extra, extra) copies keyed by ``extra`` blocks, about
     64 * extra / (radius + extra) bits, so a table's buckets stay small until fingerprints outnumber the keys.
+    A bucket's queries are dealt to blocks of ``BLOCK``; every entry of the bucket meets the blocks, not the queries
+    one by one, and a pair is told by the first table that finds it. Null fingerprints are left out.
     """
-    n = radius + extra
-    edges = [64 * i // n for i in range(n + 1)]
-
-    def block(i: int) -> Column:
-        return F.shiftrightunsigned(F.col("fp"), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-
-    keys = F.array(*[F.struct(F.lit(t).alias("table"), F.struct(*[block(i).alias(f"b{j}") for j, i in enumerate(chosen)]).alias("key")) for t, chosen in enumerate(combinations(range(n), extra))])
-    entries = fingerprints.select("fp").where("fp is not null").distinct().select("fp", F.explode(keys).alias("e")).select("fp", "e.table", "e.key")
-    a, b = entries.withColumnRenamed("fp", "a"), entries.withColumnRenamed("fp", "b")
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, ["table", "key"]).where(F.col("a") < F.col("b")).select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+    masks, keys = _table_keys(extra, radius + extra)
+    entries = fingerprints.select("fp").where("fp is not null").distinct().select("fp", F.explode(F.array(*keys)).alias("e")).select("fp", "e.table", "e.key")
+    asked = entries if queries is None else queries.select("fp").where("fp is not null").distinct().select("fp", F.explode(F.array(*keys)).alias("e")).select("fp", "e.table", "e.key")
+    bucket = Window.partitionBy("table", "key").orderBy("fp")
+    blocks = asked.withColumn("block", F.floor((F.row_number().over(bucket) - 1) / BLOCK)).groupBy("table", "key", "block").agg(F.collect_list("fp").alias("asked"))
+    # written, so that both sides of the join come from a plain exchange and a hot bucket can be split at run time
+    met = stored(blocks).hint("merge").join(entries, ["table", "key"])
+    earlier = F.slice(F.array(*[F.lit(m).cast("long") for m in masks]), F.lit(1), F.col("table"))
+
+    def found(q: Column) -> Column:
+        differ = q.bitwiseXOR(F.col("fp"))
+        fits = (q != F.col("fp")) & (F.bit_count(differ) <= radius)
+        if queries is None:
+            fits = fits & (q < F.col("fp"))
+        return fits & F.forall(earlier, lambda m: differ.bitwiseAND(m) != 0)
+
+    pairs = met.select(F.explode(F.filter("asked", found)).alias("a"), F.col("fp").alias("b"))
+    return pairs.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
+
+
+def with_neighbours(prints: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
+    """Adds to the rows that ``asked`` picks (the others: null) what lies within ``radius`` of their ``fp``:
+    ``near_fingerprints``, how many other fingerprints, and ``near_documents``, how many other rows of any of these
+    or of the same fingerprint. ``prints`` is read three times and should be stored."""
+    rows = prints.where("fp is not null").groupBy("fp").agg(F.count("*").alias("rows"))
+    chosen = prints.where(asked).select("fp").distinct()
+    pairs = within_radius(prints, radius, queries=chosen).select(F.col("a").alias("q"), F.col("b").alias("fp"))
+    # a query's own fingerprint brings its copies
+    own = chosen.select(F.col("fp").alias("q"), "fp")
+    told = pairs.unionByName(own).join(rows, "fp").groupBy("q").agg((F.count("*") - 1).alias("near_fingerprints"), (F.sum("rows") - 1).alias("near_documents"))
+    answered = prints.where(asked).join(told.withColumnRenamed("q", "fp"), "fp", "left")
+    rest = prints.where(~F.coalesce(asked, F.lit(False))).withColumns({c: F.lit(None).cast("long") for c in ("near_fingerprints", "near_documents")})
+    return answered.unionByName(rest)
