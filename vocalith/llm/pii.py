@@ -146,9 +146,12 @@ def near_counts(docs: DataFrame) -> DataFrame:
             yield batch(schema, term=term + none, kind=kind + none, entity=entity + none, doc=doc + list(texts), near=list(seen.values()) + none, bands=[None] * len(seen) + bands)
 
     rows = stored(_text(docs).mapInArrow(run, "term string, kind string, entity bigint, doc bigint, near bigint, bands array<bigint>"))
-    families = components(rows.where("bands is not null").select(F.col("doc").alias("a"), F.explode("bands").alias("b")))
+    # copies are one text; a band of one text links nothing, any other links its texts to the least of them
+    banded = stored(rows.where("bands is not null").select("doc", F.explode("bands").alias("band")).distinct())
+    least = banded.groupBy("band").agg(F.min("doc").alias("least"), F.count("*").alias("texts")).where("texts > 1")
+    families = components(banded.join(least, "band").select(F.col("doc").alias("a"), F.col("least").alias("b")))
     each = rows.where("bands is null").groupBy("term", "kind", "entity", "doc").agg(F.sum("near").alias("near"))
-    each = each.join(families.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc")
+    each = each.join(families.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("family", F.coalesce("component", "doc"))
     return each.groupBy("term", "kind", "entity", "family").agg(F.sum("near").alias("near"))
 
 
