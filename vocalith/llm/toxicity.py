@@ -7,7 +7,7 @@ second-person words, capitals, punctuation, obfuscation and repetition rates. A
 a lexicon counted without that row's fold. Trees are fitted on all folds but the last, on which scores are calibrated.
 
 Nulls and edge cases: a null or empty text has all-zero features and is scored like any other; rows without a label,
-or with one other than 0 and 1, are not learnt from; with no labelled rows, or one class only, every score is that
+or with one other than 0 and 1, are not learnt from; a doc_id labelled both 0 and 1 counts as 1; with no labelled rows, or one class only, every score is that
 class's share (0 without labels); repeated rows give repeated rows; other columns are ignored.
 """
 
@@ -234,7 +234,7 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits a model on at most ``sample_rows`` labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
     sample = stored(sample.select("text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))).cast("int").alias("fold"), "doc_id"))
     # near copies: one of those that share the least or the greatest shingle
