@@ -342,6 +342,35 @@ def test_links_against_brute_force(spark, few, hot, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(df).collect()} == plain_components(docs)
 
 
+def test_cross_pairs_of_a_large_cell_hold_little():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(1, 2**63, 3500, dtype=np.uint64))
+    sets = []
+    for i in range(1200):  # widths 128 to 1024 bytes, two of them within reach of each other's sizes
+        n = int(rng.choice([250, 300, 600, 2040, 2100]))
+        s = base[:n].copy()
+        s[rng.choice(n, n // int(rng.choice([4, 40])), replace=False)] = rng.integers(1, 2**63, 1, dtype=np.uint64)
+        sets.append(np.unique(s))
+    label = np.sort(rng.integers(0, 3, len(sets)))
+    sketches, first = [jaccard.parity(s).tobytes() for s in sets], [np.arange(i * 4, i * 4 + 4, dtype=np.uint64).tobytes() for i in range(1, len(sets) + 1)]
+    n, one = np.array([len(s) for s in sets], np.int32), np.zeros(len(sets), np.int64)
+    table = pa.table({"h": one, "i": one, "j": one, "block": one, "doc_id": np.arange(len(sets)), "n": n, "label": label, "sketch": sketches, "first": first})
+    got, most = set(), 0
+    tracemalloc.start()
+    for a, b, *_ in jaccard._cross_pairs(table, 80, False):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        got |= set(zip(a.tolist(), b.tolist()))
+    tracemalloc.stop()
+    x, y = np.triu_indices(len(sets), 1)
+    keep = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= 80 * np.maximum(n[x], n[y]))
+    x, y = x[keep], y[keep]
+    ok = jaccard._may_link(n[x], n[y], [sketches[i] for i in x], [sketches[i] for i in y], 80)
+    assert got == set(zip(x[ok].tolist(), y[ok].tolist())) and 0 < ok.sum() < len(ok)
+    assert len({len(s) for s in sketches}) >= 3 and most < 80e6
+
+
 def test_jaccard_query_and_edges(spark, sf_dir, edge_docs, no_docs):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r[0]: (r[1], r[2]) for r in queries.op5_ngram_jaccard_join(spark, sf_dir).collect()} == plain_components(docs)

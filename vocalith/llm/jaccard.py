@@ -54,6 +54,8 @@ FEW = 8
 BLOCK = 2048
 #: Pairs tested at a time.
 PAIRS = 1 << 18
+#: Bytes of sketches gathered at a time on either side of the pairs tested.
+GATHERED = 1 << 22
 #: Of n pairs, a document in more than n / HOT (and than HOT_ROWS) is salted; there are fewer than HOT such documents.
 HOT, HOT_ROWS = 1 << 12, 1 << 12
 
@@ -286,9 +288,14 @@ def _cross_pairs(table: pa.Table, threshold: int, closest: bool) -> Iterator[tup
     h, i, j, doc, n, label, block = (get(c) for c in ("h", "i", "j", "doc_id", "n", "label", "block"))
     first = np.frombuffer(b"".join(table.column("first").to_pylist()), np.uint64).reshape(-1, 4)
     sketches = table.column("sketch").to_pylist()
-    width = np.array([len(s) for s in sketches], np.int64)
-    at = np.cumsum(width) - width
-    flat = np.frombuffer(b"".join(sketches), np.uint8)
+    # the sketches of each width, a row each: whole rows are gathered, no index of their bytes is made
+    widths, kind = np.unique([len(s) // 8 for s in sketches], return_inverse=True)
+    at, rows_of = np.zeros(len(kind), np.int64), []
+    for k in range(len(widths)):
+        own = np.flatnonzero(kind == k)
+        at[own] = np.arange(len(own))
+        rows_of.append(np.frombuffer(b"".join([sketches[o] for o in own]), np.uint64).reshape(len(own), -1))
+    del sketches
     same_label = _ends(h, i, j, label)
     grams = h.view(np.uint64)
     for x, y in _pairs_of(_ends(h, i, j) - same_label, same_label):
@@ -304,17 +311,20 @@ def _cross_pairs(table: pa.Table, threshold: int, closest: bool) -> Iterator[tup
         if not len(x):
             continue
         allowed, apart = _allowed(n[x], n[y], threshold), np.zeros(len(x), np.int64)
-        for wx, wy in {*zip(width[x].tolist(), width[y].tolist())}:
-            which = np.flatnonzero((width[x] == wx) & (width[y] == wy))
-            step = max(1, (1 << 24) // max(wx, wy))
+        both = kind[x] * len(widths) + kind[y]
+        for c in np.flatnonzero(np.bincount(both)):
+            which = np.flatnonzero(both == c)
+            kx, ky = divmod(int(c), len(widths))
+            least = min(widths[kx], widths[ky])
+            step = max(1, GATHERED // (8 * int(max(widths[kx], widths[ky]))))
             for s in range(0, len(which), step):
                 part = which[s : s + step]
                 parts = []
-                for side, w in ((x[part], wx), (y[part], wy)):
-                    rows = flat[at[side][:, None] + np.arange(w)]
-                    while rows.shape[1] > min(wx, wy):
+                for side, k in ((x[part], kx), (y[part], ky)):
+                    rows = rows_of[k][at[side]]
+                    while rows.shape[1] > least:
                         rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
-                    parts.append(np.ascontiguousarray(rows).view(np.uint64))
+                    parts.append(rows)
                 apart[part] = np.bitwise_count(parts[0] ^ parts[1]).sum(axis=1, dtype=np.int64)
         ok = apart <= allowed
         x, y, used = x[ok], y[ok], apart[ok] / np.maximum(1, allowed[ok])
